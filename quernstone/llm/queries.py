@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators, and SQL where it can express them."""
 
-from quernstone.llm import simhash
+from quernstone.llm import simhash, token_shards
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op3_token_shards": token_shards.query,
 }
 
 ORACLES: dict[str, str] = {}
