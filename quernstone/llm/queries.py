@@ -1,10 +1,14 @@
 """The registered queries of the training-data operators, and SQL where it can express them."""
 
-from quernstone.llm import simhash, token_shards
+from quernstone.llm import media, mixing, simhash, token_shards
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op3_token_shards": token_shards.query,
+    "op7_mix_sources": mixing.query,
+    "op9_media_columns": media.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mix_sources": mixing.ORACLE,
+}
