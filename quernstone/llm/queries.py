@@ -1,11 +1,13 @@
 """The registered queries of the training-data operators, and SQL where it can express them."""
 
-from quernstone.llm import media, mixing, simhash, token_shards
+from quernstone.llm import language, media, mixing, simhash, token_shards, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op3_token_shards": token_shards.query,
+    "op6_toxicity": toxicity.query,
     "op7_mix_sources": mixing.query,
+    "op8_language_id": language.query,
     "op9_media_columns": media.query,
 }
 
