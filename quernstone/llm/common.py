@@ -78,3 +78,15 @@ def spread(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, by: int):
     """crc32 of an id written as text, modulo by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)
+
+
+#: A side of a join is broadcast only if a count of its rows proves it this small.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df marked for broadcast if its counted rows are within the bound, else as it is.
+
+    For tables that have been written: counting reads footers only.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

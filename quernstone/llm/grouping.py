@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Table
+from quernstone.llm.common import Table, small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(first, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(first.select("hi", F.col("m").alias("lo"))).distinct()
-        new = Table(small, "edges")
+        merge = large.join(first, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        new = Table(merge.union(first.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         was, seen = seen, _mark(new.df)
         now.drop()
         now = new
         if was == seen:
             break
-    return now.df.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.df.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    stars = now.df
+    return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -44,34 +45,41 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
-def grouped(keys: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Groups of nodes that meet in a bucket and are linked.
 
-    keys: (bucket long, node long, attr any, probe boolean). Two nodes are a candidate pair if
-    they share a bucket and one of them probes it. linked takes pairs (a, b, attr_a, attr_b) and
-    keeps the true ones. Returns (node, root) for every node with a link; root is the least node
-    reachable. Exactly the components of all true pairs:
+    keys: (bucket long, node long, attr long, probe boolean), read more than once. Two nodes are
+    a candidate pair if they share a bucket, one of them probes it and near(attr, attr) holds;
+    verified takes pairs (a, b) and keeps the true ones. Returns (node, root) for every node with
+    a link; root is the least node reachable. Exactly the components of all true pairs:
 
     1. each bucket's least node is paired with the others (rows in proportion to members);
     2. buckets whose members are now all in one group are done, whatever their size;
     3. elsewhere only pairs of members in different groups are compared.
     """
-    kept = Table(keys, "keys")
-    k = kept.df
-    heads = k.groupBy("bucket").agg(F.min_by(F.struct("node", "attr"), "node").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = k.join(heads, "bucket").filter("node != head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("attr").alias("attr_a"), F.col("head.attr").alias("attr_b"))
-    first = Table(components(linked(stars).select("a", "b")), "groups")
-    labels = first.df.withColumnsRenamed({"root": "g"})
-    k = k.join(labels, "node", "left").withColumn("g", F.coalesce("g", "node"))
-    mixed = k.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("probe").alias("any")).filter("g0 != g1 and any").select("bucket")
-    rest = Table(k.join(mixed, "bucket"), "rest")
-    p = rest.df.filter("probe").select("bucket", F.col("node").alias("a"), F.col("attr").alias("attr_a"), F.col("g").alias("ga"))
-    q = rest.df.select("bucket", F.col("node").alias("b"), F.col("attr").alias("attr_b"), F.col("g").alias("gb"))
-    pairs = p.join(q, "bucket").filter("ga != gb").select("a", "b", "attr_a", "attr_b", "ga", "gb")
-    more = Table(components(linked(pairs).select(F.col("ga").alias("a"), F.col("gb").alias("b"))), "groups")
-    if more.df.isEmpty():
+    verified = verified or (lambda pairs: pairs)
+    # counts meet before the shuffle, and most buckets have one member and end here
+    shared = Table(keys.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("bucket", "head"), "buckets")
+    kept = Table(keys.join(small(shared.df, 16), "bucket"), "keys")
+    heads = kept.df.filter("node = head").groupBy("bucket").agg(F.min("attr").alias("head_attr"))
+    stars = kept.df.filter("node != head").join(heads, "bucket").filter(near(F.col("attr"), F.col("head_attr")))
+    pairs = Table(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    first = Table(components(verified(pairs.df)), "groups")
+    k = kept.df.join(first.df.withColumnsRenamed({"root": "g"}), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    rest = Table(k, "rest")
+    mixed = rest.df.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("bucket")
+    left = rest.df.join(mixed, "bucket", "left_semi")
+    p = left.filter("probe").select("bucket", F.col("node").alias("a"), F.col("attr").alias("attr_a"), F.col("g").alias("ga"))
+    q = left.select("bucket", F.col("node").alias("b"), F.col("attr").alias("attr_b"), F.col("g").alias("gb"))
+    apart = p.join(q, "bucket").filter(F.col("ga") != F.col("gb")).filter(near(F.col("attr_a"), F.col("attr_b")))
+    # a pair that was verified as a star and failed needs no second look; both orders are one pair
+    apart = apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs.df, ["a", "b"], "left_anti")
+    fresh = Table(verified(Table(apart, "apart").df).select("a", "b"), "links")
+    if fresh.df.isEmpty():
         return first.df
-    # groups may merge, and single nodes may join them
+    label = first.df.withColumnsRenamed({"node": "n", "root": "g"})
+    lift = lambda df, c: df.join(label, F.col(c) == F.col("n"), "left").withColumn(c, F.coalesce("g", c)).drop("n", "g")
+    more = Table(components(lift(lift(fresh.df, "a"), "b")), "groups")
     merged = more.df.withColumnsRenamed({"node": "g", "root": "r"})
     alone = more.df.join(first.df.select("node"), "node", "left_anti").select("node", "root")
     return first.df.join(merged, F.col("root") == F.col("g"), "left").select("node", F.coalesce("r", "root").alias("root")).union(alone)

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import Table, ascii_words, spread
@@ -110,8 +110,8 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInPandas(run, "doc_id long, fp long")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    return pairs.filter(F.bit_count(F.col("attr_a").bitwiseXOR(F.col("attr_b"))) <= MAX_BITS)
+def _near(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """
     fp = Table(fingerprints(docs, width), "fingerprints").df
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    keys = nodes.select("fp").mapInPandas(_buckets, "bucket long, node long, attr long, probe boolean")
+    keys = Table(nodes.select("fp").repartition("fp").mapInPandas(_buckets, "bucket long, node long, attr long, probe boolean"), "codewords").df
     roots = Table(grouped(keys, _near), "roots").df
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
