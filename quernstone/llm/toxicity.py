@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import read, spread
+from quernstone.llm.common import Table, read, spread
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 SAMPLE = 8192
@@ -46,8 +46,12 @@ class OrdinalModel:
         return float((1 / (1 + np.exp(np.clip(self.thresholds - x, -700, 700)))).sum())
 
 
+def moments(ranks: list[int]) -> tuple[float, float]:
+    return float(np.mean(ranks)), float(np.std(ranks))
+
+
 def fit(sample: list[tuple[int, set[str]]], steps: int = 800) -> OrdinalModel:
-    """Maximum likelihood with a small ridge on the weights, by Adam from zero weights.
+    """Model of (grade, feature words) rows: maximum likelihood with a small ridge on the weights, by Adam from zero weights.
 
     No rows, or rows of one grade, give a model without thresholds: severity 0 for every text.
     """
@@ -56,16 +60,11 @@ def fit(sample: list[tuple[int, set[str]]], steps: int = 800) -> OrdinalModel:
     if len(grades) < 2:
         return OrdinalModel(grades, {}, np.zeros(0))
     y = np.array([grades.index(g) for g, _ in sample])
-    docs: dict[str, list[int]] = {}
-    for i, (_, ws) in enumerate(sample):
-        for w in ws:
-            docs.setdefault(w, []).append(i)
-    mean, sd = y.mean(), y.std()
-    z = {w: abs(y[d].mean() - mean) / (sd / np.sqrt(len(d))) for w, d in docs.items() if len(d) >= LEAST_DOCS}
-    names = sorted(sorted((w for w in z if z[w] >= LEAST_Z), key=lambda w: (-z[w], w))[:MOST_FEATURES])
+    names = sorted(set().union(*(w for _, w in sample)))
+    place = {w: j for j, w in enumerate(names)}
     x = np.zeros((len(y), len(names)))
-    for j, w in enumerate(names):
-        x[docs[w], j] = 1
+    for i, (_, ws) in enumerate(sample):
+        x[i, [place[w] for w in ws]] = 1
     k = len(grades) - 1
     share = np.array([(y > j).mean() for j in range(k)])
     # thresholds are the first plus positive steps, which keeps them in order
@@ -93,7 +92,7 @@ def fit(sample: list[tuple[int, set[str]]], steps: int = 800) -> OrdinalModel:
 
 
 def learn(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE) -> OrdinalModel:
-    """Model from at most sample labelled documents; only their distinct words reach the driver.
+    """Model from at most sample labelled documents; only words that pass the screen reach the driver.
 
     Null ids and grades are left out. Of repeated labels of an id the least grade counts, of
     repeated documents the least text.
@@ -103,11 +102,22 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int
     # at most sample rows of two numbers: small by construction
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
-    def run(batches):
+    def split(batches):
         for pdf in batches:
-            yield pd.DataFrame({"grade": pdf["grade"], "words": [sorted(words(t)) for t in pdf["text"]]})
-
-    return fit([(r["grade"], set(r["words"])) for r in rows.mapInPandas(run, "grade int, words array<string>").collect()])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "words": [sorted(words(t)) for t in pdf["text"]]})
+
+    bags = Table(rows.mapInPandas(split, "doc_id long, grade int, words array<string>"), "bags").df
+    counts = {r["grade"]: r["n"] for r in bags.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return fit([(g, set()) for g in counts])
+    ranks = {g: i for i, g in enumerate(sorted(counts))}
+    mean, sd = moments([ranks[g] for g in counts for _ in range(counts[g])])
+    rank = F.element_at(F.create_map(*(F.lit(x) for g in ranks for x in (g, ranks[g]))), F.col("grade"))
+    per = bags.select(F.explode("words").alias("word"), rank.alias("rank")).groupBy("word").agg(F.count("*").alias("n"), F.avg("rank").alias("mean"))
+    z = F.abs(F.col("mean") - mean) * F.sqrt("n") / sd
+    names = [r["word"] for r in per.filter((F.col("n") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(z.desc(), "word").limit(MOST_FEATURES).collect()]
+    seen = bags.select("doc_id", "grade", F.array_intersect("words", F.array(*map(F.lit, names)).cast("array<string>")).alias("words"))
+    return fit([(r["grade"], set(r["words"])) for r in seen.collect()])
 
 
 def graded(docs: DataFrame, model: OrdinalModel, text: str = "text", to: str = "severity") -> DataFrame:
