@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL where it can express them."""
 
-from quernstone.llm import language, lines, media, mixing, sentencepieces, simhash, token_shards, toxicity
+from quernstone.llm import language, lines, media, mixing, sentencepieces, simhash, token_shards, topk, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op7_mix_sources": mixing.query,
     "op8_language_id": language.query,
     "op9_media_columns": media.query,
+    "op10_bm25_top_k": topk.query,
 }
 
 ORACLES: dict[str, str] = {
     "op7_mix_sources": mixing.ORACLE,
+    "op10_bm25_top_k": topk.ORACLE,
 }
