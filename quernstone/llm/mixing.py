@@ -52,6 +52,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.withColumn("shared", first).select("source", "source_size", F.when(F.col("shared").isNull(), F.col("bound").cast("double")).otherwise(F.col("w") * F.col("shared")).alias("target"))
 
 
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all documents, and a row for each source with what it gives:
+    (key, source_size, target, copies, edge, with_edge); see copies."""
+    rows = docs.select("doc_id", "source", words_in("text").alias("size"), hash60("doc_id", "text").alias("h"))
+    sized = Table(rows.withColumn("key", _key()), "sizes").df
+    per = Table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets").df
+    per = per.withColumn("key", _key()).withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    per = per.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
+    cut = _thresholds(sized, per.select("key", "budget"))
+    return sized, Table(per.join(cut, "key", "left").select("key", "source_size", "target", "copies", "edge", "with_edge"), "plan").df
+
+
+def copies(h: str, of: str = "") -> Column:
+    """How often a document with hash h is taken, by its source's row of the plan."""
+    edge = F.col(f"{of}edge")
+    once_more = F.coalesce((F.col(h) < edge) | ((F.col(h) == edge) & F.col(f"{of}with_edge")), F.lit(False))
+    return F.col(f"{of}copies") + once_more.cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Documents (doc_id, text, source, ...) to (doc_id, source, size, source_size, target, taken).
 
@@ -60,16 +83,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     its hash and are taken or left together). Null text has size 0; null source is a source of its
     own; without words all targets are 0. No rows give no rows. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", words_in("text").alias("size"), hash60("doc_id", "text").alias("h"))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("key")
-    sized = Table(rows.select("*", key), "sizes").df
-    per = Table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets").df
-    per = per.select("*", key, F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("copies"))
-    per = per.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
-    cut = _thresholds(sized, per.select("key", "budget"))
-    plan = per.join(cut, "key", "left").select("key", "source_size", "target", "copies", "edge", "with_edge")
-    extra = F.when(F.col("edge").isNull(), F.lit(0)).when(F.col("h") < F.col("edge"), 1).when((F.col("h") == F.col("edge")) & F.col("with_edge"), 1).otherwise(0)
-    return sized.join(plan, "key").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken"))
+    sized, per = plan(docs, weights, most)
+    return sized.join(per, "key").select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies("h")).alias("taken"))
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix takes it, with their columns."""
+    _, per = plan(docs, weights, most)
+    named = docs.withColumns({"_h": hash60("doc_id", "text"), "_key": _key()})
+    per = per.select(F.col("key").alias("_key"), F.struct("copies", "edge", "with_edge").alias("_p"))
+    out = named.join(per, "_key").withColumn("_n", copies("_h", "_p.").cast("int")).filter("_n > 0")
+    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*docs.columns)
 
 
 def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
