@@ -13,8 +13,8 @@ FACET_VALUES = 100
 
 
 def as_strings(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns (all if none are named) as strings, missing values empty."""
-    return df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in (columns or df.columns) else F.col(f"`{c}`") for c in df.columns))
+    """The columns as strings, missing values empty; the others as they are."""
+    return df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
 
 
 def long_form(meta: DataFrame, columns: list[str]) -> DataFrame:
