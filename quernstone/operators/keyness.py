@@ -21,12 +21,17 @@ def frequency_list(counts: DataFrame, drop_zero: bool = False) -> DataFrame:
 
 def keyness(first: DataFrame, second: DataFrame, most: int | None = MOST, signed: bool = False) -> DataFrame:
     """(lemma, ll) of two count tables: log-likelihood over 0, largest first, at most the first 200."""
-    both = first.select("lemma", F.col("cnt").alias("a")).join(second.select("lemma", F.col("cnt").alias("b")), "lemma")
-    totals = first.agg(F.sum("cnt").alias("n1")).crossJoin(second.agg(F.sum("cnt").alias("n2")))
+    both = first.select("lemma", F.col("cnt").alias("a")).join(second.select("lemma", F.col("cnt").alias("b")), "lemma", "full")
+    return _scored(both.select("lemma", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")), most, signed)
+
+
+def _scored(counts: DataFrame, most: int | None, signed: bool = False) -> DataFrame:
+    """keyness of (lemma, a, b). The totals read the same exchange as the scores: one pass below it."""
+    totals = counts.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     # one row of two numbers
-    scored = both.filter("a > 0 AND b > 0").crossJoin(F.broadcast(totals))
+    rows = counts.filter("a > 0 AND b > 0").crossJoin(F.broadcast(totals))
     ll = F.round(log_likelihood(F.col("a"), F.col("b"), F.col("n1"), F.col("n2"), signed), DIGITS)
-    out = scored.select("lemma", ll.alias("ll")).filter("ll != 0" if signed else "ll > 0").orderBy(F.desc("ll"), "lemma")
+    out = rows.select("lemma", ll.alias("ll")).filter("ll != 0" if signed else "ll > 0").orderBy(F.desc("ll"), "lemma")
     return out if most is None else out.limit(most)
 
 
@@ -37,8 +42,7 @@ def keyness_in(tokens: DataFrame, first: DataFrame, second: DataFrame | None, mo
     if second is not None:
         marked = marked.join(second.select("doc_id").distinct().withColumn("_b", F.lit(1)), "doc_id", "left")
         other = F.col("_b")
-    counts = marked.groupBy("lemma").agg(F.count("_a").alias("a"), F.count(other).alias("b"))
-    return keyness(counts.select("lemma", F.col("a").alias("cnt")), counts.select("lemma", F.col("b").alias("cnt")), most)
+    return _scored(marked.groupBy("lemma").agg(F.count("_a").alias("a"), F.count(other).alias("b")), most)
 
 
 def word_cloud(scores: DataFrame) -> DataFrame:
