@@ -204,3 +204,15 @@ def test_any_corpus(spark):
     inside = {r.doc_id for r in c.select(Query("b", within="a")).collect()}
     assert inside <= {r.doc_id for r in c.context("a").collect()}
     assert all(r.ll > 0 for r in c.compare_contexts("a").collect())
+
+
+def test_stream_counts(spark, tmp_path):
+    from quernstone.streaming import stream_frequencies
+
+    (tmp_path / "in").mkdir()
+    for i, text in enumerate(F3):
+        (tmp_path / f"in/{i}.txt").write_text(text)
+    docs = spark.readStream.option("maxFilesPerTrigger", 2).text(str(tmp_path / "in")).withColumnRenamed("value", "text")
+    q = stream_frequencies(docs).writeStream.outputMode("complete").format("memory").queryName("stream_words").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
+    q.awaitTermination(60)
+    assert {r.value: r.cnt for r in spark.table("stream_words").collect()} == {"kot": 6, "pies": 4, "Kot": 1, ",": 1}
