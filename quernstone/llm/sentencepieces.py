@@ -23,8 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.llm.common import Table, read, spread
 
@@ -204,6 +206,46 @@ def lattice(path: str) -> Lattice:
     return Lattice({sp.id_to_piece(i): sp.get_score(i) for i in range(sp.vocab_size()) if not skip(i)})
 
 
+class Encoder:
+    """The library's ids of a text from cached ids of its words.
+
+    No piece holds a word mark behind another sign, so a text's words, each with the spaces before
+    it, have the ids that they have in it. Texts with repeated or outer spaces, or with a word
+    mark of their own, are given to the library whole. The cache is bounded: a full one takes no
+    more, and is emptied once it misses a fifth of a text's words.
+    """
+
+    MOST, LONGEST = 400_000, 48
+
+    def __init__(self, path: str):
+        self.sp = _model(path)
+        self.whole = not lattice(path).closed
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.whole or "  " in text or MARK in text or text[:1] == " " or text[-1:] == " " or not text:
+            return np.array(self.sp.encode(text), np.int32)
+        known, words = self.known, text.split(" ")
+        found = list(map(known.get, words))
+        holes = found.count(None)
+        if holes:
+            if len(known) > self.MOST and 5 * holes > len(words) > 100:
+                known.clear()
+            at = -1
+            for _ in range(holes):
+                at = found.index(None, at + 1)
+                word = words[at]
+                got = found[at] = np.array(self.sp.encode(word), np.int32).tobytes()
+                if len(word) <= self.LONGEST and len(known) <= self.MOST:
+                    known[word] = got
+        return np.frombuffer(b"".join(found), np.int32)
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def _ids(path: str, pieces: list[str]) -> list[int]:
     sp, known = _model(path), lattice(path).scores
     out: list[int] = []
@@ -229,7 +271,7 @@ def trace_chunk(path: str, text: str, left: int, right: int, came: State, goes:
         end = max((k for k in found if k[1] == place[0]), key=lambda k: found[k][0])
         out += _ids(path, cover(lat.trace(text, first, end)))
     if place[0] < place[1]:
-        out += _model(path).encode(text[place[0] + 1 : place[1]].replace(MARK, " "))
+        out += encoder(path).ids(text[place[0] + 1 : place[1]].replace(MARK, " ")).tolist()
     return out + _ids(path, cover(lat.trace(text, (place[1], place[1]), last)))
 
 
@@ -311,34 +353,67 @@ def _traced(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
+def _appended(path: str, of: str, encoding: bool, checked: bool):
+    """Batches with ids of the texts, and with whether they decode to the texts, put behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = encoder(path) if encoding else None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                texts = some.column(some.schema.get_field_index(of)).to_pylist()
+                columns = list(some.columns)
+                if encoding:
+                    ids = [None if t is None else made.ids(t) for t in texts]
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                else:
+                    ids = columns[-1].to_pylist()
+                if checked:
+                    columns.append(pa.array([t is None or decode_ids(path, x if isinstance(x, list) else x.tolist()) == t for t, x in zip(texts, ids, strict=True)]))
+                names = [*some.schema.names, *["_ids"] * encoding, *["_same"] * checked]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS, same: str | None = None) -> DataFrame:
     """Adds the ids (array<int>) of a text column; all other columns stay, whatever their names.
 
     Texts of up to giant characters are encoded whole, longer ones by chunks as above; the ids
     are the library's for either. Null text has null ids, empty text none. Repeated rows stay
-    repeated. No rows give no rows.
+    repeated. With same, a column of that name says whether decoding the ids gives the text
+    back. No rows give no rows. An added column's name must be free.
     """
-    if to in docs.columns:
-        raise ValueError(f"there is a column {to} already")
-
-    @F.pandas_udf("array<int>")
-    def whole(texts: pd.Series) -> pd.Series:
-        sp = _model(path)
-        return pd.Series([None if t is None else np.array(sp.encode(t), np.int32) for t in texts], dtype=object)
-
+    if {to, same} & set(docs.columns):
+        raise ValueError(f"there is a column {to} or {same} already")
+    added = T.StructType([T.StructField(to, T.ArrayType(T.IntegerType())), *([T.StructField(same, T.BooleanType())] if same else [])])
+    docs = docs.withColumn(text, F.col(text).cast("string"))
     long = F.coalesce(F.length(text) > giant, F.lit(False))
-    usual = spread(docs).filter(~long).withColumn(to, whole(F.col(text).cast("string")))
-    held = Table(docs.filter(long).withColumn("_uid", F.monotonically_increasing_id()), "giants").df
-    texts = held.select(F.col("_uid").alias("uid"), F.col(text).cast("string").alias("text"))
+    usual = spread(docs).filter(~long).mapInArrow(_named(_appended(path, text, True, bool(same)), [*docs.columns, *added.names]), T.StructType([*docs.schema, *added]))
+    rows = docs.filter(long).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    held = Table(rows.withColumn("uid", F.monotonically_increasing_id()), "giants").df
+    texts = held.select("uid", "text")
     chunks = Table(texts.mapInPandas(_chunk_rows(path, chunk), _CHUNK), "chunks").df
     dealt = chunks.repartition("uid", "chunk")
     cuts = dealt.mapInPandas(_matrices(path), _MATRIX).groupBy("uid").applyInPandas(_cuts, "uid long, chunk int, a int, b int, c int, d int")
     traced = chunks.join(cuts, ["uid", "chunk"]).mapInPandas(_traced(path), "uid long, chunk int, ids array<int>")
     ids = traced.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda s: s["ids"])).alias(to))
-    big = held.join(ids.withColumnsRenamed({"uid": "_uid"}), "_uid").select(*docs.columns, to)
+    big = held.join(ids, "uid").select("row.*", to)
+    if same:
+        big = big.mapInArrow(_named(_appended(path, text, False, True), [*docs.columns, *added.names]), T.StructType([*docs.schema, *added]))
     return usual.unionByName(big)
 
 
+def _named(run, names: list[str]):
+    """run with its columns called names, in their order."""
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names)
+
+    return renamed
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the text of an array of ids. Null ids give null text, no ids an empty one."""
 
@@ -354,5 +429,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path, same="round_trip")
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
