@@ -100,10 +100,21 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("lemma").agg(F.count("*").alias("df"))
 
 
-def gaps(posts: DataFrame) -> DataFrame:
-    """(lemma, doc_id, gap) to the lemma's document before; the first gap is the id and one."""
-    w = Window.partitionBy("lemma").orderBy("doc_id")
-    return posts.select("lemma", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(-1))).alias("gap"))
+#: Documents of one lemma are put in order in stretches of so many ids.
+STRETCH = 1 << 20
+
+
+def gaps(posts: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(lemma, doc_id, gap) to the lemma's document before; the first gap is the id and one.
+
+    A lemma in very many documents is cut into stretches of ids; only the last id of each
+    stretch is carried to the next.
+    """
+    rows = posts.select("lemma", "doc_id", F.floor(F.col("doc_id") / stretch).alias("_s"))
+    inner = F.lag("doc_id").over(Window.partitionBy("lemma", "_s").orderBy("doc_id"))
+    last = rows.groupBy("lemma", "_s").agg(F.max("doc_id").alias("_last"))
+    carried = last.select("lemma", "_s", F.lag("_last").over(Window.partitionBy("lemma").orderBy("_s")).alias("_before"))
+    return rows.withColumn("_p", inner).join(carried, ["lemma", "_s"]).select("lemma", "doc_id", (F.col("doc_id") - F.coalesce("_p", "_before", F.lit(-1))).alias("gap"))
 
 
 def intervals(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -124,7 +124,8 @@ def test_word_cloud(spark):
 
 def test_gaps_and_intervals(spark):
     posts = spark.createDataFrame([("x", 0), ("x", 1), ("x", 4)], "lemma string, doc_id long")
-    assert [r.gap for r in tokens.gaps(posts).orderBy("doc_id").collect()] == [1, 1, 3]
+    for stretch in (2, 3, 100):
+        assert [r.gap for r in tokens.gaps(posts, stretch).orderBy("doc_id").collect()] == [1, 1, 3]
     df = spark.createDataFrame([(0, v) for v in (1, 2, 3, 7, 9, 10, 10)], "k long, v long")
     assert [(r.lo, r.hi) for r in tokens.intervals(df, "k", "v").orderBy("lo").collect()] == [(1, 3), (7, 7), (9, 10)]
 
