@@ -81,7 +81,7 @@ def crc_mod(column: str, by: int):
 
 
 #: A side of a join is broadcast only if a count of its rows proves it this small.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:

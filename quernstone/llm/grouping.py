@@ -59,8 +59,10 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     """
     verified = verified or (lambda pairs: pairs)
     # counts meet before the shuffle, and most buckets have one member and end here
-    shared = Table(keys.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("bucket", "head"), "buckets")
-    kept = Table(keys.join(small(shared.df, 16), "bucket"), "keys")
+    shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
+    members = Table(keys.join(small(shared.df, 16), "bucket"), "keys")
+    heads = members.df.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("bucket", "head")
+    kept = Table(members.df.join(heads, "bucket"), "keys")
     heads = kept.df.filter("node = head").groupBy("bucket").agg(F.min("attr").alias("head_attr"))
     stars = kept.df.filter("node != head").join(heads, "bucket").filter(near(F.col("attr"), F.col("head_attr")))
     pairs = Table(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
