@@ -72,3 +72,25 @@ def page(df: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
 def page_of(number: int, rows: int) -> tuple[int, int]:
     """Offset and limit of a page, from 0."""
     return max(0, number) * rows, rows
+
+
+def with_text(filters: dict, column: str, text: str) -> dict:
+    """Filters with a text sought in a column; the empty text lifts the column's filter."""
+    return {**{c: f for c, f in filters.items() if c != column}, **({column: text} if text else {})}
+
+
+def with_all(filters: dict, column: str) -> dict:
+    """Filters that let every value of a column pass."""
+    return {c: f for c, f in filters.items() if c != column}
+
+
+def with_none(filters: dict, column: str) -> dict:
+    """Filters that let no value of a column pass."""
+    return {**filters, column: set()}
+
+
+def toggled(filters: dict, column: str, value, values: list) -> dict:
+    """Filters with one value of a column switched; values are all it has, which pass if none is filtered."""
+    now = filters.get(column)
+    chosen = set(values) if now is None or isinstance(now, str) else set(now)
+    return {**filters, column: chosen ^ {value}}

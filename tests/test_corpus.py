@@ -217,3 +217,10 @@ def test_stream_counts(spark, tmp_path):
     q = stream_frequencies(docs).writeStream.outputMode("complete").format("memory").queryName("stream_words").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
     q.awaitTermination(60)
     assert {r.value: r.cnt for r in spark.table("stream_words").collect()} == {"kot": 6, "pies": 4, "Kot": 1, ",": 1}
+
+
+def test_filter_toggles():
+    f = search.toggled({}, "k", "b", ["a", "b"])
+    assert f == {"k": {"a"}} and search.toggled(f, "k", "b", ["a", "b"]) == {"k": {"a", "b"}}
+    assert search.with_none(f, "k") == {"k": set()} and search.with_all(f, "k") == {} and search.with_text({"z": "y"}, "k", "b") == {"z": "y", "k": "b"}
+    assert search.with_text({"k": "b"}, "k", "") == {}
