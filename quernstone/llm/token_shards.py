@@ -13,9 +13,11 @@ of a round may pair again in later rounds. The stored text is the same for any n
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from quernstone.llm.common import Table, read
 
 SHARD_TOKENS = 1 << 20
 END_ID = 2
-ROUNDS = 6
+ROUNDS = 4
 LEAST = 16
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_000_000
 _CACHE_CHARS = 48
 _HASH_BITS = 20
 
@@ -43,7 +45,7 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
 
     Symbol base + i is rule i. Without frequent pairs the sequence is ids itself.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     known = base
     lengths = np.zeros(0, np.int64)
@@ -51,11 +53,15 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        slot = ((seq[:-1] * 0x9E3779B1 + seq[1:] * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
+        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
         often = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= bar)[slot])
-        code = seq[often] << 32 | seq[often + 1]
-        pairs, which, count = np.unique(code, return_inverse=True, return_counts=True)
-        live = count[which] >= bar
+        code = seq[often].astype(np.int64) << 32 | seq[often + 1]
+        ordered = np.sort(code)
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(code) else np.zeros(0, np.int64)
+        pairs = ordered[first][np.diff(first, append=len(code)) >= bar]
+        which = np.searchsorted(pairs, code)
+        which[which == len(pairs)] = 0
+        live = pairs[which] == code if len(pairs) else np.zeros(len(code), bool)
         at, which = often[live], which[live]
         # in a run of neighbouring hits every other one is replaced, from the left
         run = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
@@ -84,35 +90,29 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
 
 
 def expand(rules: np.ndarray, lengths: np.ndarray, seq: np.ndarray, base: int) -> np.ndarray:
-    """All ids of symbols seq. Every rule's text is laid out once, then copied by position."""
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    flat = np.zeros(starts[-1], np.int64)
-    todo = np.arange(len(rules))
-    # rules refer to earlier ones only: fill by rising expansion length
-    for size in np.unique(lengths):
-        for r in todo[lengths == size]:
-            at = starts[r]
-            for s in rules[r]:
-                if s < base:
-                    flat[at] = s
-                    at += 1
-                else:
-                    k = s - base
-                    flat[at : at + lengths[k]] = flat[starts[k] : starts[k + 1]]
-                    at += lengths[k]
-    rule = seq >= base
-    index = np.where(rule, seq - base, 0)
-    size = np.where(rule, lengths[index] if len(lengths) else 1, 1)
+    """All ids of symbols seq. Every symbol's text is laid out once, then copied by position."""
+    flat = np.arange(base, dtype=np.int32)
+    starts, sizes = flat, np.ones(base, np.int32)
+    done = 0
+    while done < len(rules):
+        # the rules up to the next that refers to one of these: their parts are laid out already
+        later = np.flatnonzero(rules[done:].max(axis=1) >= base + done)
+        end = done + int(later[0]) if len(later) else len(rules)
+        laid = _copied(flat, starts, sizes, rules[done:end].ravel())
+        size = lengths[done:end].astype(np.int32)
+        starts = np.concatenate([starts, len(flat) + np.cumsum(size) - size]).astype(np.int32)
+        sizes = np.concatenate([sizes, size])
+        flat = np.concatenate([flat, laid])
+        done = end
+    return _copied(flat, starts, sizes, seq)
+
+
+def _copied(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    size = sizes[seq]
     ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    out = np.repeat(np.where(rule, starts[index] - (ends - size), 0), size)
-    out += np.arange(total)
-    got = np.empty(total, np.int64)
-    plain = np.repeat(~rule, size)
-    got[plain] = seq[~rule]
-    inner = ~plain
-    got[inner] = flat[out[inner]]
-    return got
+    at = np.repeat(starts[seq] - (ends - size), size)
+    at += np.arange(len(at))
+    return flat[at]
 
 
 def token_range(shard: dict, start: int, stop: int) -> np.ndarray:
@@ -133,12 +133,26 @@ def arrays(shard: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- tokens -----------------------------------------------------------------------------------
 
 
+def pieces(text: str) -> list[str]:
+    """Pieces of a text whose ids, put together, are the text's ids.
+
+    The tokenizer composes characters, lowers case, drops white space and takes letters apart
+    from other signs. Pieces are cut at spaces and line feeds. A text that is composed already
+    and holds no mark of a special token and no letter whose lower case hangs on its neighbours
+    is lowered first, so that fewer pieces differ.
+    """
+    if "<|" not in text and "\u03a3" not in text:
+        low = text.lower()
+        if text.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            text = low
+    return text.replace("\n", " ").split(" ")
+
+
 class WordEncoder:
-    """Whole-text ids from cached ids of the pieces between spaces and line feeds.
+    """Whole-text ids from cached ids of the text's pieces.
 
-    The tokenizer drops white space before it forms tokens, so a text's ids are those of its
-    pieces in order. The cache is bounded: a full one takes no more, and is emptied once it
-    misses a third of a call's words.
+    The cache is bounded: a full one takes no more, and is emptied once it misses a fifth of a
+    call's pieces.
     """
 
     def __init__(self, path: str):
@@ -149,33 +163,78 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.plain = self._for_letters(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.stops = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
+        #: Which ids end a word.
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _for_letters(self, path: str):
+        """The tokenizer without what does nothing to composed words of small letters, if that holds."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = "the retitioning hall\u00e5\u00e9\u00df \u6f22\u5b57 \u043c\u0438\u0440 a zyxwvutsrqponmlkjihgfedcba"
+        same = plain.encode(probe, add_special_tokens=False).ids == self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return plain if same else self.tokenizer
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, each with end appended."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        words = set().union(*split)
-        new = list(words.difference(known))
-        if len(known) > _CACHE_WORDS and 3 * len(new) > len(words):
-            known.clear()
-            known[""] = b""
-            new = list(words)
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        split = [pieces(t) if t else [] for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        new: dict[str, bytes | None] = {}
+        holes: list[tuple[list, int, str]] = []
+        for words, ids in zip(split, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = b""
+                new[words[at]] = None
+                holes.append((ids, at, words[at]))
+        if new:
+            names = list(new)
+            if len(known) > _CACHE_WORDS and 5 * len(holes) > sum(map(len, split)):
+                known.clear()
+                known[""] = b""
+            # a comma or full stop behind a letter is a token of its own
+            stems = {w: w[:-1] for w in names if w[-1] in self.stops and w[-2:-1].isalpha()}
+            lack = dict.fromkeys(w for w in names if w not in stems)
+            lack |= dict.fromkeys(w for w in stems.values() if w not in known)
+            self._fill(lack)
+            for word, stem in stems.items():
+                new[word] = (known.get(stem) or lack[stem]) + self.stops[word[-1]]
+            new |= lack
+            for word in new:
+                if len(word) <= _CACHE_CHARS and len(known) <= _CACHE_WORDS:
+                    known[word] = new[word]
+            for ids, at, word in holes:
+                ids[at] = new[word]
+        return [b"".join(ids) + end for ids in found]
+
+
+    def _fill(self, new: dict[str, bytes | None]) -> None:
+        """Ids of all words. Plain words go in lines of many, cut where a word's last token ends."""
+        plain = [w for w in new if w.isalpha() and (w.isascii() or (is_normalized("NFC", w) and w == w.lower() and w.lower().isalpha()))]
+        rest = list(new.keys() - plain) if len(plain) < len(new) else []
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(some, (ends * 4).tolist(), strict=True):
+                new[word] = data[start:end]
+                start = end
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                to = extra if len(word) > _CACHE_CHARS or len(known) > _CACHE_WORDS else known
-                to[word] = np.array(e.ids, "<u4").tobytes()
-        if not extra:
-            return [b"".join(map(known.__getitem__, words)) + end for words in split]
-        out = []
-        for words in split:
-            found = list(map(known.get, words))
-            if None in found:
-                found = [extra[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            out.append(b"".join(found) + end)
-        return out
+                new[word] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(2)
@@ -205,6 +264,8 @@ def _shards(path: str, end_id: int, shard_tokens: int, rounds: int):
             state["first"] += len(seq)
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
+        # strings, bytes and flat lists: no cycles, and walks over the cache cost
+        gc.disable()
         ids, texts, held = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -218,6 +279,7 @@ def _shards(path: str, end_id: int, shard_tokens: int, rounds: int):
                         ids, texts, held = [], [], 0
         if ids:
             yield flush(ids, texts)
+        gc.enable()
 
     return run
 
