@@ -8,7 +8,8 @@ sum and expands only the symbols that cover it.
 The grammar is built in rounds. Classic Re-Pair replaces one pair at a time, always the most
 frequent; here a round takes every pair at or over the round's frequency threshold, most
 thresholds high to low, and replaces their occurrences left to right without overlap. Symbols
-of a round may pair again in later rounds. The stored text is the same for any number of rounds.
+of a round may pair again in later rounds, and rounds go on until no pair occurs LEAST times. The
+stored text is the same for any number of rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,7 +30,8 @@ from quernstone.llm.common import Table, read
 
 SHARD_TOKENS = 1 << 20
 END_ID = 2
-ROUNDS = 4
+#: None: as many as there are pairs for.
+ROUNDS = None
 LEAST = 16
 _CACHE_WORDS = 1_000_000
 _CACHE_CHARS = 48
@@ -40,17 +43,19 @@ SCHEMA = "part int, shard int, first_token long, n_tokens long, base long, doc_i
 # ---- grammar ----------------------------------------------------------------------------------
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids (below base) to (rules n x 2, expansion length of each rule, sequence).
 
-    Symbol base + i is rule i. Without frequent pairs the sequence is ids itself.
+    Symbol base + i is rule i. Without frequent pairs the sequence is ids itself. Without a bound
+    on rounds no pair of the sequence occurs least times: a round replaces at least half of the
+    occurrences that reach its bar, so one that replaces nothing at the last bar leaves none.
     """
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     known = base
     lengths = np.zeros(0, np.int64)
     bar = max(least, len(seq) // 1024)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
@@ -242,7 +247,7 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _shards(path: str, end_id: int, shard_tokens: int, rounds: int):
+def _shards(path: str, end_id: int, shard_tokens: int, rounds: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -287,7 +292,7 @@ def _shards(path: str, end_id: int, shard_tokens: int, rounds: int):
 _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()), ("sequence", pa.binary())])
 
 
-def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> DataFrame:
+def encode_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, rounds: int | None = ROUNDS) -> DataFrame:
     """Documents (doc_id, text, ...) to shards in ascending doc_id order.
 
     Rows are dealt by doc_id ranges and sorted (null doc_ids first, equal ones by text), so

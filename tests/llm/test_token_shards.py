@@ -23,6 +23,20 @@ def test_grammar_round_trip():
     assert len(seq) < 8000 and lengths.max() > 2
 
 
+def test_no_frequent_pair_is_left():
+    """Whatever the length, rules are as deep as repeated passages need."""
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 1000, 200)
+    copies = np.concatenate([np.concatenate([passage, rng.integers(0, 1000, 30)]) for _ in range(100)])
+    for ids in (copies, rng.zipf(1.3, 3 << 20) % 40000, np.zeros(100_000, np.int64)):
+        rules, lengths, seq = T.compress(ids.astype(np.uint32), 40000)
+        assert (T.expand(rules, lengths, seq, 40000) == ids).all()
+        pairs, often = np.unique(seq[:-1].astype(np.int64) << 32 | seq[1:], return_counts=True)
+        assert len(pairs) == 0 or often.max() < T.LEAST
+    rules, lengths, seq = T.compress(copies.astype(np.uint32), 40000)
+    assert lengths.max() > 100
+
+
 def test_word_cache_is_exact():
     e = T.WordEncoder(PATH)
     texts = ["A.,B... x,y'S don't <|endoftext|>. É, é. ,a .b", "ΣΑΣ, abc.", "<|ENDOFTEXT|>", "", ".", "a. \x1f b　c", "İstanbul, éx", "word " * 300, "x" * 500, None]
