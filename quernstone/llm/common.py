@@ -15,13 +15,15 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir.
 
-    The setting is read from the session. Where it is unset (tests, local mode) a temporary
-    folder takes its place. The folder goes when the application ends.
+    The setting is read from the session. In local mode without it a temporary folder takes its
+    place; a cluster must set it. The folder goes when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         _ROOTS[app] = f"{base.rstrip('/')}/quernstone-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
@@ -42,7 +44,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 class Table:
     """A table written to the shared folder: lineage ends here, and lost executors don't matter."""
 
-    def __init__(self, df: DataFrame, name: str, codec: str = "zstd", **partition: str):
+    def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
@@ -75,6 +77,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if parts >= cores else df.repartition(cores)
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by columns into four parts for each core; a given number isn't coalesced by bytes.
+
+    For few bytes that take long, such as keys to be made in Python.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def crc_mod(column: str, by: int):
     """crc32 of an id written as text, modulo by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(by)

@@ -45,10 +45,28 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
+#: Members of a bucket that go to one task.
+TOGETHER = 64
+
+
+def _salts() -> Column:
+    return F.ceil(F.col("n") / TOGETHER)
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, node, n) of large buckets dealt to as many salts as their members need."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), _salts()))
+
+
+def _for_salts(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, n) once for each salt of the bucket."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
+
+
 def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Groups of nodes that meet in a bucket and are linked.
 
-    keys: (bucket long, node long, attr long, probe boolean), read more than once. Two nodes are
+    keys: (bucket long, node long, attr, probe boolean), read more than once. Two nodes are
     a candidate pair if they share a bucket, one of them probes it and near(attr, attr) holds;
     verified takes pairs (a, b) and keeps the true ones. Returns (node, root) for every node with
     a link; root is the least node reachable. Exactly the components of all true pairs:
@@ -56,24 +74,26 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     1. each bucket's least node is paired with the others (rows in proportion to members);
     2. buckets whose members are now all in one group are done, whatever their size;
     3. elsewhere only pairs of members in different groups are compared.
+
+    Members of a large bucket are dealt to many tasks, and what they are joined with goes to each.
     """
     verified = verified or (lambda pairs: pairs)
     # counts meet before the shuffle, and most buckets have one member and end here
-    shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
-    members = Table(keys.join(small(shared.df, 16), "bucket"), "keys")
-    heads = members.df.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head != last").select("bucket", "head")
-    kept = Table(members.df.join(heads, "bucket"), "keys")
-    heads = kept.df.filter("node = head").groupBy("bucket").agg(F.min("attr").alias("head_attr"))
-    stars = kept.df.filter("node != head").join(heads, "bucket").filter(near(F.col("attr"), F.col("head_attr")))
+    shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = Table(keys.join(small(shared.df, 24), "bucket"), "keys")
+    heads = members.df.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.first("n").alias("n")).filter("head != last")
+    kept = Table(_salted(members.df).join(_for_salts(heads).select("bucket", "salt", "head"), ["bucket", "salt"]), "keys")
+    heads = kept.df.filter("node = head").groupBy("bucket").agg(F.min("attr").alias("head_attr"), F.first("n").alias("n"))
+    stars = kept.df.filter("node != head").join(_for_salts(heads).drop("n"), ["bucket", "salt"]).filter(near(F.col("attr"), F.col("head_attr")))
     pairs = Table(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     first = Table(components(verified(pairs.df)), "groups")
     k = kept.df.join(first.df.withColumnsRenamed({"root": "g"}), "node", "left").withColumn("g", F.coalesce("g", "node"))
     rest = Table(k, "rest")
-    mixed = rest.df.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 != g1").select("bucket")
-    left = rest.df.join(mixed, "bucket", "left_semi")
-    p = left.filter("probe").select("bucket", F.col("node").alias("a"), F.col("attr").alias("attr_a"), F.col("g").alias("ga"))
-    q = left.select("bucket", F.col("node").alias("b"), F.col("attr").alias("attr_b"), F.col("g").alias("gb"))
-    apart = p.join(q, "bucket").filter(F.col("ga") != F.col("gb")).filter(near(F.col("attr_a"), F.col("attr_b")))
+    mixed = rest.df.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.first("n").alias("n")).filter("g0 != g1")
+    left = Table(rest.df.join(_for_salts(mixed).select("bucket", "salt"), ["bucket", "salt"], "left_semi"), "mixed").df
+    p = left.filter("probe").select("bucket", "salt", F.col("node").alias("a"), F.col("attr").alias("attr_a"), F.col("g").alias("ga"))
+    q = _for_salts(left.drop("salt")).select("bucket", "salt", F.col("node").alias("b"), F.col("attr").alias("attr_b"), F.col("g").alias("gb"))
+    apart = p.join(q, ["bucket", "salt"]).filter(F.col("ga") != F.col("gb")).filter(near(F.col("attr_a"), F.col("attr_b")))
     # a pair that was verified as a star and failed needs no second look; both orders are one pair
     apart = apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(pairs.df, ["a", "b"], "left_anti")
     fresh = Table(verified(Table(apart, "apart").df).select("a", "b"), "links")

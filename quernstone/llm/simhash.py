@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Table, ascii_words, spread
+from quernstone.llm.common import Table, ascii_words, dealt, spread
 from quernstone.llm.grouping import grouped
 
 SHINGLE_WORDS = 3
@@ -71,18 +71,52 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
 
 def codeword_index(words: np.ndarray) -> np.ndarray:
     """Index (0 to 4,095) of the one codeword within three bits of each 23-bit word."""
-    syndromes, fix = _golay()
+    return (words ^ _golay()[1][_syndrome(words)]) >> 11
+
+
+def _syndrome(words: np.ndarray) -> np.ndarray:
     s = np.zeros_like(words)
-    for bit in range(23):
-        s ^= np.where(words >> bit & 1, syndromes[bit], 0)
-    return (words ^ fix[s]) >> 11
+    for bit, syndrome in enumerate(_golay()[0]):
+        s ^= np.where(words >> bit & 1, syndrome, 0)
+    return s
+
 
+def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its 24 codeword indices within one bit, its own first, and which of them are new."""
+    keys = np.stack([codeword_index(words)] + [codeword_index(words ^ (1 << b)) for b in range(23)], axis=1)
+    order = np.argsort(keys, axis=1, kind="stable")
+    ordered = np.take_along_axis(keys, order, 1)
+    fresh = np.ones(keys.shape, bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    new = np.zeros(keys.shape, bool)
+    np.put_along_axis(new, order, fresh, 1)
+    return keys, new
 
-def golay_keys(words: np.ndarray) -> list[np.ndarray]:
-    """For each word the distinct codeword indices within one bit of it, its own first."""
-    own = codeword_index(words)
-    near = np.stack([own] + [codeword_index(words ^ (1 << b)) for b in range(23)], axis=1)
-    return [np.concatenate(([k[0]], np.setdiff1d(k, k[:1]))) for k in near]
+
+def decoded(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of 23 margins (bit set if positive, surer the larger) to codeword indices.
+
+    Of the codewords within one bit's decoding the first is the one that disagrees with the
+    smallest margins in sum (the lower index of equals), the second the next; the third array is
+    by how much it disagrees more, at most 2^31 - 1. Without a second, that and the first itself.
+    """
+    _, fix = _golay()
+    place = 1 << np.arange(23)
+    words = (margins > 0) @ place
+    near = np.stack([words] + [words ^ (1 << b) for b in range(23)], axis=1)
+    code = near ^ fix[_syndrome(near)]
+    index = code >> 11
+    cost = np.zeros(code.shape, np.int64)
+    weight = np.abs(margins)
+    for bit in range(23):
+        cost += ((code ^ words[:, None]) >> bit & 1) * weight[:, bit : bit + 1]
+    ranked = cost << 12 | index
+    best = ranked.min(axis=1)
+    ranked[index == (best & 4095)[:, None]] = np.iinfo(np.int64).max
+    second = ranked.min(axis=1)
+    none = second == np.iinfo(np.int64).max
+    gap = np.where(none, (1 << 31) - 1, np.minimum((second >> 12) - (best >> 12), (1 << 31) - 1))
+    return best & 4095, np.where(none, best, second) & 4095, gap
 
 
 def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,13 +125,12 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unsigned = fp.view(np.uint64)
         part = [((unsigned >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
         for family in range(3):
-            keys = golay_keys(part[(family + 1) % 3])
-            many = np.array([len(k) for k in keys], np.int64)
-            head = np.repeat((np.int64(family) << 34) | (part[family] << 12), many)
-            first = np.zeros(many.sum(), bool)
-            first[np.cumsum(many) - many] = True
-            nodes = np.repeat(fp, many)
-            yield pd.DataFrame({"bucket": head | np.concatenate(keys) if len(keys) else head, "node": nodes, "attr": nodes, "probe": first})
+            keys, new = golay_keys(part[(family + 1) % 3])
+            head = np.int64(family) << 34 | part[family] << 12
+            own = np.zeros(keys.shape, bool)
+            own[:, 0] = True
+            nodes = np.broadcast_to(fp[:, None], keys.shape)[new]
+            yield pd.DataFrame({"bucket": (head[:, None] | keys)[new], "node": nodes, "attr": nodes, "probe": own[new]})
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -125,7 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """
     fp = Table(fingerprints(docs, width), "fingerprints").df
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    keys = Table(nodes.select("fp").repartition("fp").mapInPandas(_buckets, "bucket long, node long, attr long, probe boolean"), "codewords").df
+    keys = Table(dealt(nodes.select("fp"), "fp").mapInPandas(_buckets, "bucket long, node long, attr long, probe boolean"), "codewords").df
     roots = Table(grouped(keys, _near), "roots").df
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

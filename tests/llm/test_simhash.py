@@ -46,8 +46,9 @@ def test_only_null_ids(docs):
 def test_golay_code():
     rng = np.random.default_rng(3)
     words = rng.integers(0, 1 << 23, 3000)
-    keys = simhash.golay_keys(words)
-    assert {len(k) for k in keys} == {1, 6}
+    all_keys, new = simhash.golay_keys(words)
+    keys = [k[n] for k, n in zip(all_keys, new, strict=True)]
+    assert {len(k) for k in keys} == {1, 6} and all(k[0] == a[0] for k, a in zip(keys, all_keys, strict=True))
     codes = np.unique(simhash.codeword_index(np.arange(1 << 16)))
     assert codes.min() >= 0 and codes.max() < 4096
     for bit in range(23):
