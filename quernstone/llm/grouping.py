@@ -72,8 +72,8 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     a link; root is the least node reachable. Exactly the components of all true pairs:
 
     1. each bucket's least node is paired with the others (rows in proportion to members);
-    2. buckets whose members are now all in one group are done, whatever their size;
-    3. elsewhere only pairs of members in different groups are compared.
+    2. buckets whose other members are now all in one group, or just one, are done, whatever their size;
+    3. elsewhere the others are compared among themselves, in pairs of different groups only.
 
     Members of a large bucket are dealt to many tasks, and what they are joined with goes to each.
     """
@@ -88,7 +88,8 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     pairs = Table(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
     first = Table(components(verified(pairs.df)), "groups")
     k = kept.df.join(first.df.withColumnsRenamed({"root": "g"}), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    rest = Table(k, "rest")
+    # a bucket's least node has been compared with all of it: what is left are the others
+    rest = Table(k.filter("node != head").drop("head"), "rest")
     mixed = rest.df.groupBy("bucket").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.first("n").alias("n")).filter("g0 != g1")
     left = Table(rest.df.join(_for_salts(mixed).select("bucket", "salt"), ["bucket", "salt"], "left_semi"), "mixed").df
     p = left.filter("probe").select("bucket", "salt", F.col("node").alias("a"), F.col("attr").alias("attr_a"), F.col("g").alias("ga"))
