@@ -19,7 +19,7 @@ library encodes that stretch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import Table, read, spread
+from quernstone.llm.common import Table, dealt, read, spread
 
 GIANT_CHARS = 1 << 15
 CHUNK_CHARS = 1 << 14
+#: Neighbouring matrices that are combined at a time.
+FAN = 8
 MARK = "▁"
 NEVER = float("-inf")
 
@@ -146,42 +148,55 @@ def _marks(text: str, start: int, stop: int) -> Iterator[int]:
         at = text.find(MARK, at + 1, stop)
 
 
-def combine(a: dict[tuple[State, State], float], b: dict[tuple[State, State], float]) -> dict[tuple[State, State], float]:
-    """Max-plus product of two transfer matrices."""
-    rows: dict[State, list[tuple[State, float]]] = {}
-    for (i, j), v in b.items():
-        rows.setdefault(i, []).append((j, v))
-    out: dict[tuple[State, State], float] = {}
-    for (i, j), v in a.items():
-        for k, w in rows.get(j, ()):
-            if v + w > out.get((i, k), NEVER):
-                out[i, k] = v + w
-    return out
-
-
-def dense(m: dict) -> dict[tuple[State, State], float]:
-    if "all" in m:
-        return {(i, j): v for i, j, v in m["all"]}
-    return {(i, j): v + w for i, v in m["in"] for j, w in m["out"]}
-
-
-def cut_states(matrices: list[dict]) -> list[State]:
-    """The state at every cut on the best path, from the matrices of a document's chunks in order.
-
-    Products of all first chunks lead forward; the last cut is the text's end, where a piece
-    must end, and the best states lead back from there.
+def combine(a: dict, b: dict) -> dict:
+    """Max-plus product of two transfer matrices. Where one is an outer sum, so is the product."""
+    if "all" in a and "all" in b:
+        rows: dict[State, list[tuple[State, float]]] = {}
+        for i, j, v in b["all"]:
+            rows.setdefault(i, []).append((j, v))
+        best: dict[tuple[State, State], float] = {}
+        for i, j, v in a["all"]:
+            for k, w in rows.get(j, ()):
+                if v + w > best.get((i, k), NEVER):
+                    best[i, k] = v + w
+        return {"all": [(i, k, v) for (i, k), v in best.items()]}
+    if "all" in a:
+        return {"in": _best((i, v + w) for i, j, v in a["all"] for k, w in b["in"] if k == j), "out": b["out"]}
+    if "all" in b:
+        goes = dict(a["out"])
+        return {"in": a["in"], "out": _best((j, goes[i] + v) for i, j, v in b["all"] if i in goes)}
+    goes = dict(a["out"])
+    link = max((goes[i] + v for i, v in b["in"] if i in goes), default=NEVER)
+    return {"in": a["in"], "out": [(j, v + link) for j, v in b["out"]] if link > NEVER else []}
+
+
+def _best(weighed) -> list[tuple[State, float]]:
+    best: dict[State, float] = {}
+    for s, v in weighed:
+        if v > best.get(s, NEVER):
+            best[s] = v
+    return list(best.items())
+
+
+def dense(m: dict) -> list[tuple[State, State, float]]:
+    return m["all"] if "all" in m else [(i, j, v + w) for i, v in m["in"] for j, w in m["out"]]
+
+
+def cut_states(matrices: list[dict], came: State = (0, 0), goes: State | None = None) -> list[State]:
+    """The state at every cut on the best path from came to goes, from a few matrices in order.
+
+    Without goes the last cut is the text's end, where a piece must end.
     """
-    start: State = (0, 0)
     ahead: list[dict[State, tuple[float, State]]] = []
-    now = {start: 0.0}
+    now = {came: 0.0}
     for m in matrices:
         after: dict[State, tuple[float, State]] = {}
-        for (i, j), v in dense(m).items():
+        for i, j, v in dense(m):
             if i in now and now[i] + v > after.get(j, (NEVER, i))[0]:
                 after[j] = now[i] + v, i
         ahead.append(after)
         now = {j: v for j, (v, _) in after.items()}
-    at = max((s for s in now if s[1] == 0), key=lambda s: now[s])
+    at = max((s for s in now if s[1] == 0), key=lambda s: now[s]) if goes is None else goes
     out = [at]
     for after in reversed(ahead):
         at = after[at][1]
@@ -294,7 +309,7 @@ def decode_ids(path: str, ids) -> str:
 # ---- DataFrames -------------------------------------------------------------------------------
 
 _STATE = "struct<before: int, behind: int>"
-_MATRIX = f"uid long, chunk int, came array<struct<s: {_STATE}, v: double>>, goes array<struct<s: {_STATE}, v: double>>, cells array<struct<i: {_STATE}, j: {_STATE}, v: double>>"
+_MATRIX = f"uid long, chunk int, whole boolean, came array<struct<s: {_STATE}, v: double>>, goes array<struct<s: {_STATE}, v: double>>, cells array<struct<i: {_STATE}, j: {_STATE}, v: double>>"
 
 
 def _chunk_rows(path: str, size: int):
@@ -316,32 +331,72 @@ def _chunk_rows(path: str, size: int):
 _CHUNK = "uid long, chunk int, offset long, left long, right long, piece string, chunks int"
 
 
+def _row(uid: int, chunk: int, m: dict) -> tuple:
+    pair = lambda s: {"before": s[0], "behind": s[1]}
+    side = lambda k: [{"s": pair(s), "v": v} for s, v in m.get(k, [])]
+    return uid, chunk, "all" in m, side("in"), side("out"), [{"i": pair(i), "j": pair(j), "v": v} for i, j, v in m.get("all", [])]
+
+
+def _state(s) -> State:
+    return int(s["before"]), int(s["behind"])
+
+
+def _matrix(r) -> dict:
+    if r.whole:
+        return {"all": [(_state(c["i"]), _state(c["j"]), c["v"]) for c in r.cells]}
+    return {"in": [(_state(c["s"]), c["v"]) for c in r.came], "out": [(_state(c["s"]), c["v"]) for c in r.goes]}
+
+
+_COLUMNS = ["uid", "chunk", "whole", "came", "goes", "cells"]
+
+
 def _matrices(path: str):
     def run(batches):
         lat = lattice(path)
-        pair = lambda s: {"before": s[0], "behind": s[1]}
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                m = lat.transfer(r.piece, r.left - r.offset, r.right - r.offset, r.chunk == 0)
-                side = lambda k: [{"s": pair(s), "v": v} for s, v in m.get(k, [])]  # noqa: B023, E731
-                rows.append((r.uid, r.chunk, side("in"), side("out"), [{"i": pair(i), "j": pair(j), "v": v} for i, j, v in m.get("all", [])]))
-            yield pd.DataFrame(rows, columns=["uid", "chunk", "came", "goes", "cells"])
+            rows = [_row(r.uid, r.chunk, lat.transfer(r.piece, r.left - r.offset, r.right - r.offset, r.chunk == 0)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return run
 
 
-def _cuts(pdf: pd.DataFrame) -> pd.DataFrame:
-    state = lambda s: (int(s["before"]), int(s["behind"]))
-    pdf = pdf.sort_values("chunk")
-    matrices = []
-    for came, goes, cells in zip(pdf["came"], pdf["goes"], pdf["cells"], strict=True):
-        if len(cells):
-            matrices.append({"all": [(state(c["i"]), state(c["j"]), c["v"]) for c in cells]})
-        else:
-            matrices.append({"in": [(state(c["s"]), c["v"]) for c in came], "out": [(state(c["s"]), c["v"]) for c in goes]})
-    at = cut_states(matrices)
-    return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "a": [s[0] for s in at[:-1]], "b": [s[1] for s in at[:-1]], "c": [s[0] for s in at[1:]], "d": [s[1] for s in at[1:]]})
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One matrix of up to FAN neighbours."""
+    rows = list(pdf.sort_values("chunk").itertuples(index=False))
+    m = reduce(combine, map(_matrix, rows))
+    return pd.DataFrame([_row(rows[0].uid, rows[0].chunk // FAN, m)], columns=_COLUMNS)
+
+
+def _inner(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The states at the cuts of up to FAN neighbours, from those at their ends (none given: a whole text)."""
+    rows = list(pdf.sort_values("chunk").itertuples(index=False))
+    ends = ((int(rows[0].a), int(rows[0].b)), (int(rows[0].c), int(rows[0].d))) if rows[0].known else ((0, 0), None)
+    at = cut_states([_matrix(r) for r in rows], *ends)
+    return pd.DataFrame({"uid": rows[0].uid, "chunk": [r.chunk for r in rows], "a": [s[0] for s in at[:-1]], "b": [s[1] for s in at[:-1]], "c": [s[0] for s in at[1:]], "d": [s[1] for s in at[1:]]})
+
+
+_CUTS = "uid long, chunk int, a int, b int, c int, d int"
+
+
+def _scan(matrices: DataFrame, most: int) -> DataFrame:
+    """(uid, chunk, a, b, c, d): the states at both cuts of every chunk of texts of at most most chunks.
+
+    Up: FAN neighbours at a time are combined, level by level, until a text is one group of
+    matrices. Down: each group's inner cuts follow from the states at its ends. Both take
+    log-many rounds, and no task has more than FAN matrices of a group at once.
+    """
+    levels = [matrices]
+    while most > FAN:
+        up = levels[-1].withColumn("up", F.expr(f"chunk div {FAN}")).groupBy("uid", "up").applyInPandas(_product, _MATRIX)
+        levels.append(Table(up, "products").df)
+        most = -(-most // FAN)
+    blank = [F.lit(0).alias(c) for c in ("a", "b", "c", "d")]
+    cuts = levels.pop().select("*", *blank, F.lit(False).alias("known")).groupBy("uid").applyInPandas(_inner, _CUTS)
+    while levels:
+        ends = Table(cuts, "cuts").df.withColumnRenamed("chunk", "up").withColumn("known", F.lit(True))
+        level = levels.pop().withColumn("up", F.expr(f"chunk div {FAN}").cast("int")).join(ends, ["uid", "up"])
+        cuts = level.groupBy("uid", "up").applyInPandas(_inner, _CUTS)
+    return cuts
 
 
 def _traced(path: str):
@@ -377,15 +432,14 @@ def _appended(path: str, of: str, encoding: bool, checked: bool):
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS, same: str | None = None) -> DataFrame:
-    """Adds the ids (array<int>) of a text column; all other columns stay, whatever their names.
+    """Adds the ids (array<int>) of a text column; all others stay, whatever their names, but for one of that name.
 
     Texts of up to giant characters are encoded whole, longer ones by chunks as above; the ids
     are the library's for either. Null text has null ids, empty text none. Repeated rows stay
     repeated. With same, a column of that name says whether decoding the ids gives the text
-    back. No rows give no rows. An added column's name must be free.
+    back. No rows give no rows. Columns that have the added ones' names are replaced.
     """
-    if {to, same} & set(docs.columns):
-        raise ValueError(f"there is a column {to} or {same} already")
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in (to, same)))
     added = T.StructType([T.StructField(to, T.ArrayType(T.IntegerType())), *([T.StructField(same, T.BooleanType())] if same else [])])
     docs = docs.withColumn(text, F.col(text).cast("string"))
     long = F.coalesce(F.length(text) > giant, F.lit(False))
@@ -394,9 +448,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", to: str = "ids", gian
     held = Table(rows.withColumn("uid", F.monotonically_increasing_id()), "giants").df
     texts = held.select("uid", "text")
     chunks = Table(texts.mapInPandas(_chunk_rows(path, chunk), _CHUNK), "chunks").df
-    dealt = chunks.repartition("uid", "chunk")
-    cuts = dealt.mapInPandas(_matrices(path), _MATRIX).groupBy("uid").applyInPandas(_cuts, "uid long, chunk int, a int, b int, c int, d int")
-    traced = chunks.join(cuts, ["uid", "chunk"]).mapInPandas(_traced(path), "uid long, chunk int, ids array<int>")
+    most = chunks.agg(F.max("chunks")).first()[0] or 0
+    matrices = Table(dealt(chunks, "uid", "chunk").mapInPandas(_matrices(path), _MATRIX), "matrices").df
+    cuts = _scan(matrices, most)
+    traced = dealt(chunks.join(cuts, ["uid", "chunk"]), "uid", "chunk").mapInPandas(_traced(path), "uid long, chunk int, ids array<int>")
     ids = traced.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda s: s["ids"])).alias(to))
     big = held.join(ids, "uid").select("row.*", to)
     if same:

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from quernstone.llm import sentencepieces as S  # noqa: E402
@@ -38,12 +39,12 @@ def test_products_are_associative_and_unigram_is_optimal():
     for _ in range(20):
         text = "".join(rng.choice("ab") for _ in range(60))
         _, matrices = chunked(lat, text, 15)
-        m = [S.dense(x) for x in matrices]
-        left, right = m[0], m[-1]
-        for x in m[1:]:
+        left, right = matrices[0], matrices[-1]
+        for x in matrices[1:]:
             left = S.combine(left, x)
-        for x in m[-2::-1]:
+        for x in matrices[-2::-1]:
             right = S.combine(x, right)
+        left, right = ({(i, j): v for i, j, v in S.dense(x)} for x in (left, right))
         assert {k: round(v, 9) for k, v in left.items()} == {k: round(v, 9) for k, v in right.items()}
         best = [0.0] + [S.NEVER] * len(text)
         for i in range(len(text)):
@@ -70,6 +71,15 @@ def test_encode_and_decode(docs, rows):
     assert all(r.decoded == r.text for r in back)
 
 
+def test_many_levels_of_chunks(spark):
+    """A text of some 120 chunks goes up and down three levels, forced places or none."""
+    sp = S._model(PATH)
+    texts = ["the of and retitioning " * 200, "thering" * 900, "漢字 かな" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("old"))
+    got = {r.doc_id: r.ids for r in S.encode(docs, PATH, giant=100, chunk=40).collect()}
+    assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
+
+
 def test_long_decoding():
     sp = S._model(PATH)
     ids = sp.encode("Is and 漢 the\n" * 100_000)
