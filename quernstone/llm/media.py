@@ -111,34 +111,142 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
-def _find(data: memoryview, start: int, end: int, found: dict[bytes, tuple[int, int]]) -> dict[bytes, tuple[int, int]]:
-    for kind, a, b in boxes(data, start, end):
-        found.setdefault(kind, (a, b))
+#: Boxes within boxes that are followed; a track's tables are five deep.
+MOST_DEPTH = 32
+
+
+def _find(data: memoryview, start: int, end: int) -> dict[bytes, list[tuple[int, int]]]:
+    """Bodies of all boxes by kind, in the order of the file, those within others included."""
+    found: dict[bytes, list[tuple[int, int]]] = {}
+    open_ = [boxes(data, start, end)]
+    while open_:
+        box = next(open_[-1], None)
+        if box is None:
+            open_.pop()
+            continue
+        kind, a, b = box
+        found.setdefault(kind, []).append((a, b))
         if kind in NESTS:
-            _find(data, a, b, found)
+            if len(open_) == MOST_DEPTH:
+                raise ValueError("boxes are nested too deep")
+            open_.append(boxes(data, a, b))
     return found
 
 
+def _fields(data: memoryview, at: tuple[int, int], fields: str, skip: int = 0) -> tuple[int, ...]:
+    """Numbers of a box, which must hold them."""
+    if at[0] + skip + struct.calcsize(f">{fields}") > at[1]:
+        raise ValueError("a box is cut off")
+    return struct.unpack_from(f">{fields}", data, at[0] + skip)
+
+
 def _entries(data: memoryview, at: tuple[int, int] | None, fields: str, skip: int = 4) -> list[tuple[int, ...]]:
     """Rows of a table box: a count behind skip bytes, then as many entries."""
     if at is None:
         return []
-    (n,) = struct.unpack_from(">I", data, at[0] + skip)
+    (n,) = _fields(data, at, "I", skip)
     step = struct.calcsize(f">{fields}")
     if at[0] + skip + 4 + n * step > at[1]:
         raise ValueError("a table is cut off")
     return list(struct.iter_unpack(f">{fields}", data[at[0] + skip + 4 : at[0] + skip + 4 + n * step]))
 
 
+def _tabled(data: memoryview, found: dict[bytes, list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Byte ranges of a track's samples by its sample tables, and the numbers of those that are keyframes."""
+    first = {kind: at[0] for kind, at in found.items()}
+    fixed, n = _fields(data, first[b"stsz"], "II", 4)
+    if fixed and fixed * n > len(data):
+        raise ValueError("more samples than bytes")
+    sizes = [fixed] * n if fixed else [x for (x,) in _entries(data, first[b"stsz"], "I", skip=8)]
+    offsets = [x for (x,) in (_entries(data, first[b"co64"], "Q") if b"co64" in first else _entries(data, first.get(b"stco"), "I"))]
+    runs = _entries(data, first.get(b"stsc"), "III")
+    samples, k = [], 0
+    for i, (chunk, per, _) in enumerate(runs):
+        stop = runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1
+        if not 1 <= chunk <= stop <= len(offsets) + 1:
+            raise ValueError("a run of chunks is outside the table")
+        for start in offsets[chunk - 1 : stop - 1]:
+            for size in sizes[k : k + per]:
+                samples.append((start, size))
+                start += size
+            k += per
+    if len(samples) != n:
+        raise ValueError("the chunks don't hold all samples")
+    sync = [x for (x,) in _entries(data, first[b"stss"], "I")] if b"stss" in first else list(range(1, n + 1))
+    if any(not 1 <= i <= n for i in sync):
+        raise ValueError("a sync sample is outside the table")
+    return samples, sync
+
+
+def _fragments(data: memoryview, top: list[tuple[bytes, int, int]], track: int, defaults: tuple[int, int, int]) -> tuple[list[tuple[int, int]], list[bool], int]:
+    """Byte ranges of a track's samples in movie fragments, whether each is a keyframe, and their duration in sum.
+
+    defaults: duration, size and flags of a sample that neither its run nor its fragment gives.
+    """
+    samples, keys, lasts = [], [], 0
+    for kind, a, b in top:
+        if kind != b"moof":
+            continue
+        begin = a - 8 if struct.unpack_from(">I4s", data, a - 8)[1] == b"moof" else a - 16
+        for part, c, d in boxes(data, a, b):
+            if part != b"traf":
+                continue
+            found = _find(data, c, d)
+            head = found[b"tfhd"][0]
+            flags, number = _fields(data, head, "II")
+            if number != track:
+                continue
+            at, base, own = 8, begin, list(defaults)
+            if flags & 1:
+                (base,), at = _fields(data, head, "Q", at), at + 8
+            at += 4 if flags & 2 else 0
+            for k, bit in enumerate((8, 16, 32)):
+                if flags & bit:
+                    (own[k],), at = _fields(data, head, "I", at), at + 4
+            place = base
+            for run in found.get(b"trun", []):
+                flags, n = _fields(data, run, "II")
+                at, opening = 8, None
+                if flags & 1:
+                    (shift,), at = _fields(data, run, "i", at), at + 4
+                    place = base + shift
+                if flags & 4:
+                    (opening,), at = _fields(data, run, "I", at), at + 4
+                step = 4 * sum(1 for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit)
+                if run[0] + at + n * step > run[1] or (not step and n * own[1] > len(data)) or (not step and n > len(data)):
+                    raise ValueError("a run of samples is cut off")
+                for i in range(n):
+                    length, size, mark = own
+                    if flags & 0x100:
+                        (length,), at = _fields(data, run, "I", at), at + 4
+                    if flags & 0x200:
+                        (size,), at = _fields(data, run, "I", at), at + 4
+                    if flags & 0x400:
+                        (mark,), at = _fields(data, run, "I", at), at + 4
+                    elif i == 0 and opening is not None:
+                        mark = opening
+                    at += 4 if flags & 0x800 else 0
+                    samples.append((place, size))
+                    keys.append(not mark & 0x10000)
+                    place += size
+                    lasts += length
+    return samples, keys, lasts
+
+
+_FIELDS = ("codec", "timescale", "duration", "n_samples", "media_start", "samples", "keyframes", "error")
+
+
 def describe(blob: bytes | None) -> dict | None:
-    """Codec, duration and byte ranges of the first track with a sample table.
+    """Codec, duration and byte ranges of the first track with a sample table, those of fragments behind its own.
 
-    None for None. A container that can't be followed gives its error and nulls, never an
-    exception. Without a sync table all samples are keyframes, as the format has it.
+    None for None. A container that can't be followed, or whose tables speak of samples that it
+    doesn't hold, gives its error and nulls, never an exception: counts are held against the boxes
+    that carry them before anything is laid out. Without a sync table all samples of the tables
+    are keyframes, as the format has it.
     """
     if blob is None:
         return None
-    out = dict.fromkeys(("codec", "timescale", "duration", "n_samples", "media_start", "samples", "keyframes", "error"))
+    out = dict.fromkeys(_FIELDS)
     try:
         data = memoryview(blob)
         top = list(boxes(data, 0, len(data)))
@@ -146,33 +254,26 @@ def describe(blob: bytes | None) -> dict | None:
         if moov is None:
             raise ValueError("no moov box")
         for kind, a, b in boxes(data, *moov):
-            if kind == b"trak" and b"stbl" in (found := _find(data, a, b, {})):
+            if kind == b"trak" and b"stbl" in (found := _find(data, a, b)):
                 break
         else:
             raise ValueError("no track with a sample table")
-        at = found[b"mdhd"][0]
-        timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-        (codec,) = struct.unpack_from(">4s", data, found[b"stsd"][0] + 12)
-        fixed, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-        sizes = [fixed] * n if fixed else [x for (x,) in _entries(data, found[b"stsz"], "I", skip=8)]
-        offsets = [x for (x,) in (_entries(data, found[b"co64"], "Q") if b"co64" in found else _entries(data, found.get(b"stco"), "I"))]
-        runs = _entries(data, found.get(b"stsc"), "III")
-        samples, k = [], 0
-        for i, (first, per, _) in enumerate(runs):
-            for chunk in range(first, runs[i + 1][0] if i + 1 < len(runs) else len(offsets) + 1):
-                start = offsets[chunk - 1]
-                for size in sizes[k : k + per]:
-                    if start + size > len(data):
-                        raise ValueError("a sample is past the end")
-                    samples.append((start, size))
-                    start += size
-                k += per
-        if len(samples) != n:
-            raise ValueError("the chunks don't hold all samples")
-        sync = [x for (x,) in _entries(data, found[b"stss"], "I")] if b"stss" in found else range(1, n + 1)
-        return out | {"codec": codec.decode("latin-1"), "timescale": timescale, "duration": duration, "n_samples": n, "media_start": min((s for s, _ in samples), default=0), "samples": samples, "keyframes": [samples[i - 1] for i in sync]}
+        head = found[b"mdhd"][0]
+        wide = _fields(data, head, "B")[0] == 1
+        timescale, duration = _fields(data, head, "IQ", 20) if wide else _fields(data, head, "II", 12)
+        (codec,) = _fields(data, found[b"stsd"][0], "4s", 12)
+        samples, sync = _tabled(data, found)
+        number = _fields(data, found[b"tkhd"][0], "I", 20 if _fields(data, found[b"tkhd"][0], "B")[0] == 1 else 12)[0] if b"tkhd" in found else 1
+        extends = [_fields(data, at, "IIIII", 4) for at in _find(data, *moov).get(b"trex", [])]
+        defaults = next(((e[2], e[3], e[4]) for e in extends if e[0] == number), (0, 0, 0))
+        more, keys, lasts = _fragments(data, top, number, defaults)
+        keyframes = [samples[i - 1] for i in sync] + [s for s, key in zip(more, keys, strict=True) if key]
+        samples += more
+        if any(start < 0 or start + size > len(data) for start, size in samples):
+            raise ValueError("a sample is past the end")
+        return out | {"codec": codec.decode("latin-1"), "timescale": timescale, "duration": duration or lasts, "n_samples": len(samples), "media_start": min((s for s, _ in samples), default=0), "samples": samples, "keyframes": keyframes}
     except (ValueError, KeyError, IndexError, struct.error) as e:
-        return out | {"error": str(e)}
+        return out | {"error": str(e) or type(e).__name__}
 
 
 def media_columns(df: DataFrame, blob: str = "media", to: str = "about") -> DataFrame:
@@ -183,14 +284,17 @@ def media_columns(df: DataFrame, blob: str = "media", to: str = "about") -> Data
 
     @F.pandas_udf(MEDIA)
     def run(blobs: pd.Series) -> pd.DataFrame:
-        rows = [describe(b) or dict.fromkeys(("codec", "timescale", "duration", "n_samples", "media_start", "samples", "keyframes", "error")) for b in blobs]
-        return pd.DataFrame(rows, columns=["codec", "timescale", "duration", "n_samples", "media_start", "samples", "keyframes", "error"])
+        return pd.DataFrame([describe(b) or dict.fromkeys(_FIELDS) for b in blobs], columns=list(_FIELDS))
 
     return df.withColumn(to, F.when(F.col(blob).isNotNull(), run(blob)))
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every text's padded UTF-8 in a container. Null text is empty."""
+    """(doc_id, n_bytes, media): every text's padded UTF-8 in a container, a row for each input row.
+
+    Null text is empty, a null id stays null, repeated rows stay repeated, other columns are
+    ignored, whatever their names. No rows give no rows.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -201,7 +305,10 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Digest of stored containers, from their bytes: see the query's columns."""
+    """Digest of stored containers (doc_id, n_bytes, media), all but n_bytes from their bytes: see the query's columns.
+
+    A row for each input row; a container that can't be followed fails, since store wrote it.
+    """
 
     def run(batches):
         for pdf in batches:

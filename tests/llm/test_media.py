@@ -38,6 +38,48 @@ def test_broken(blob):
     assert about["error"] and about["samples"] is None
 
 
+def _track(stsz, stss=b"", stsc=((1, 1, 1),), offsets=(24,)):
+    ints = lambda *x: struct.pack(f">{len(x)}I", *x)
+    stbl = M._box(b"stbl", M._full(b"stsd", ints(1), M._box(b"avc1", bytes(8))), M._full(b"stsc", ints(len(stsc)), *(ints(*x) for x in stsc)), stsz, M._full(b"stco", ints(len(offsets)), ints(*offsets)), stss)
+    mdia = M._box(b"mdia", M._full(b"mdhd", ints(0, 0, 25, 4), bytes(4)), M._box(b"minf", stbl))
+    return M._box(b"trak", M._full(b"tkhd", ints(0, 0, 7, 0)), mdia)
+
+
+def test_false_tables_are_errors():
+    ints = lambda *x: struct.pack(f">{len(x)}I", *x)
+    wrap = lambda trak: M._box(b"ftyp", b"isom") + M._box(b"mdat", b"0123456789") + M._box(b"moov", trak)
+    one = M._full(b"stsz", ints(0, 1), ints(3))
+    assert M.describe(wrap(_track(one)))["samples"] == [(24, 3)]
+    huge = M._full(b"stsz", ints(1, 0xFFFFFFFF))
+    deep = b""
+    for _ in range(3000):
+        deep = M._box(b"udta", deep)
+    for trak in (_track(huge), _track(M._full(b"stsz", ints(0, 0xFFFFFFFF))), _track(one, M._full(b"stss", ints(1), ints(0))), _track(one, M._full(b"stss", ints(1), ints(2))), _track(one, stsc=((0, 1, 1),)), _track(one, stsc=((2, 1, 1), (1, 1, 1))), _track(one, offsets=(10**6,)), M._box(b"trak", deep)):
+        about = M.describe(wrap(trak))
+        assert about["error"] and about["samples"] is None
+
+
+def test_fragments():
+    """Two fragments of the track behind an empty sample table, one of another track; keyframes by flags."""
+    ints = lambda *x: struct.pack(f">{len(x)}I", *x)
+    empty = _track(M._full(b"stsz", ints(0, 0)), M._full(b"stss", ints(0)), (), ())
+    head = M._box(b"ftyp", b"isom") + M._box(b"moov", empty, M._box(b"mvex", M._full(b"trex", ints(7, 1, 5, 4, 0x10000))))
+
+    def moof(track, trun, data, flags=0, *own):
+        make = lambda shift: M._box(b"moof", M._full(b"mfhd", ints(1)), M._box(b"traf", M._full(b"tfhd", ints(track), *map(ints, own), flags=flags), trun(shift)))
+        return make(len(make(0)) + 8) + M._box(b"mdat", data)
+
+    first = moof(7, lambda at: M._full(b"trun", ints(3), ints(at), ints(0), flags=1 | 4), b"aaaabbbbcccc")
+    other = moof(8, lambda at: M._full(b"trun", ints(1), ints(at), flags=1), b"zzzz")
+    last = moof(7, lambda at: M._full(b"trun", ints(2), ints(at), ints(9, 2, 0x10000), ints(9, 3, 0), flags=1 | 0x700), b"ddeee", 0x20, 0)
+    blob = head + first + other + last
+    about = M.describe(blob)
+    assert about["error"] is None and [blob[s : s + n] for s, n in about["samples"]] == [b"aaaa", b"bbbb", b"cccc", b"dd", b"eee"]
+    assert [blob[s : s + n] for s, n in about["keyframes"]] == [b"aaaa", b"eee"] and about["duration"] == 4
+    lie = head + moof(7, lambda at: M._full(b"trun", ints(0xFFFFFFFF), ints(at), flags=1), b"x")
+    assert M.describe(lie)["error"]
+
+
 def test_every_cut_is_defined():
     blob = M.mux(M.pad(b"some text" * 30))
     for n in range(0, len(blob), 7):
