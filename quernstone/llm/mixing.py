@@ -88,12 +88,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
 
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix takes it, with their columns."""
+    """The mix itself: the rows of docs, each as often as mix takes it, with their columns, whatever their names."""
     _, per = plan(docs, weights, most)
-    named = docs.withColumns({"_h": hash60("doc_id", "text"), "_key": _key()})
-    per = per.select(F.col("key").alias("_key"), F.struct("copies", "edge", "with_edge").alias("_p"))
-    out = named.join(per, "_key").withColumn("_n", copies("_h", "_p.").cast("int")).filter("_n > 0")
-    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    out = docs.select(whole.alias("row"), hash60("doc_id", "text").alias("h"), _key().alias("key")).join(per, "key")
+    times = F.explode(F.array_repeat(F.lit(1), copies("h").cast("int")))
+    return out.select("row", times.alias("one")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
