@@ -151,7 +151,12 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, languages: list[str], sums: np.ndarray, dim: int = DIM) -> DataFrame:
-    """Adds lang_pred and score to docs (text, ...); only text is looked at."""
+    """Adds lang_pred and score to docs (text, ...); only text is looked at.
+
+    A text that is null or has no letter gets und and score 0. Of languages that are equally near
+    the first in the given order is taken. Columns of these names are replaced, all others kept,
+    whatever their names; repeated rows stay repeated, no rows give no rows.
+    """
     length = np.linalg.norm(sums, axis=1, keepdims=True)
     unit = np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)
 
@@ -168,7 +173,9 @@ def predict(docs: DataFrame, languages: list[str], sums: np.ndarray, dim: int =
             scores.append(np.where(some, np.clip(cosine[np.arange(len(v)), best], 0, 1), 0.0))
         return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else []})
 
-    return docs.withColumn("_p", run("text")).select("*", "_p.lang_pred", "_p.score").drop("_p")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(whole.alias("row"), run(F.col("text").cast("string")).alias("p")).select(*kept, "p.lang_pred", "p.score")
 
 
 def identify(docs: DataFrame, dim: int = DIM, folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
