@@ -62,9 +62,9 @@ def fit(sample: list[tuple[int, set[str]]], steps: int = 800) -> OrdinalModel:
     y = np.array([grades.index(g) for g, _ in sample])
     names = sorted(set().union(*(w for _, w in sample)))
     place = {w: j for j, w in enumerate(names)}
-    x = np.zeros((len(y), len(names)))
-    for i, (_, ws) in enumerate(sample):
-        x[i, [place[w] for w in ws]] = 1
+    # x as its ones: row and column of each
+    row = np.repeat(np.arange(len(y)), [len(ws) for _, ws in sample])
+    column = np.array([place[w] for _, ws in sample for w in ws], np.int64)
     k = len(grades) - 1
     share = np.array([(y > j).mean() for j in range(k)])
     # thresholds are the first plus positive steps, which keeps them in order
@@ -74,12 +74,12 @@ def fit(sample: list[tuple[int, set[str]]], steps: int = 800) -> OrdinalModel:
     for t in range(1, steps + 1):
         w, gaps = p[: len(names)], np.exp(p[len(names) + 1 :])
         b = np.concatenate([[-np.inf], p[len(names)] + np.concatenate([[0.0], np.cumsum(gaps)]), [np.inf]])
-        s = x @ w
+        s = np.bincount(row, w[column], len(y))
         over = lambda c: 1 / (1 + np.exp(np.clip(c - s, -700, 700)))  # noqa: E731  P(grade > its index)
         lo, hi = over(b[y]), over(b[y + 1])
         prob = np.maximum(lo - hi, 1e-12)
         dlo, dhi = lo * (1 - lo), hi * (1 - hi)
-        gw = -(x.T @ ((dlo - dhi) / prob)) / len(y) + RIDGE * w / len(y)
+        gw = -np.bincount(column, ((dlo - dhi) / prob)[row], len(names)) / len(y) + RIDGE * w / len(y)
         gb = np.zeros(k + 2)
         np.add.at(gb, y, dlo / prob)
         np.add.at(gb, y + 1, -dhi / prob)
@@ -121,7 +121,11 @@ def learn(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int
 
 
 def graded(docs: DataFrame, model: OrdinalModel, text: str = "text", to: str = "severity") -> DataFrame:
-    """Adds the expected severity of every row's whole text; null and empty texts have the base rate."""
+    """Adds the expected severity of every row's whole text; null and empty texts have the base rate.
+
+    Equal texts get equal numbers. A column of that name is replaced, all others are kept, whatever
+    their names; repeated rows stay repeated, no rows give no rows.
+    """
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
