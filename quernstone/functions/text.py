@@ -61,9 +61,9 @@ def drop_ext(name: Column) -> Column:
     return F.regexp_replace(name, r"\..*", "")
 
 
-def row_key(columns: list[str]) -> Column:
-    """Columns 0, 1, 2 and 4 joined by a slash."""
-    return F.concat_ws("/", *(F.col(columns[i]) for i in (0, 1, 2, 4)))
+def row_key(columns: list[str], sep: str = "/") -> Column:
+    """The columns' values as one text; missing ones are left out."""
+    return F.concat_ws(sep, *(F.col(f"`{c}`") for c in columns))
 
 
 def absolute(prefix: str, name: Column) -> Column:

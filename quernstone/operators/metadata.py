@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import datable, intable
+from quernstone.functions.text import datable, intable, row_key
 from quernstone.operators.tokens import numbered
 
 #: Columns with fewer distinct values than this list them.
@@ -82,3 +82,36 @@ def card(meta: DataFrame, doc_id: int, columns: list[str]) -> DataFrame:
 def label(column: str) -> str:
     """How a column is headed: first letter large, the others small."""
     return column.capitalize()
+
+
+#: A column is at most this wide unless the corpus says otherwise; one of width 0 takes the rest.
+COLUMN_WIDTH = 200
+
+
+def layout(columns: list[str], custom: dict | None = None, room: int = 1204) -> list[tuple[str, str, float]]:
+    """(column, label, width) in a room of that width; custom has {column: {label, width}}."""
+    custom = custom or {}
+    each = min(COLUMN_WIDTH, room / max(1, len(columns)))
+    taken = sum(c.get("width") or 0 for c in custom.values())
+
+    def width(own: dict) -> float:
+        if own.get("width") == 0:
+            return max(COLUMN_WIDTH, room - taken)
+        return own.get("width") or each
+
+    return [(c, custom.get(c, {}).get("label") or label(c), float(width(custom.get(c, {})))) for c in columns]
+
+
+def filled(template, values: dict[str, str]):
+    """A card's template, nested lists and texts, with each "meta/column" replaced by the document's value.
+
+    A column that the document lacks gives None.
+    """
+    if isinstance(template, str):
+        return values.get(template[5:]) if template.startswith("meta/") else template
+    return [filled(x, values) for x in template] if isinstance(template, list) else template
+
+
+def key_index(meta: DataFrame, columns: list[str], to: str = "row") -> DataFrame:
+    """(key, row): the least doc_id of each key that the columns make up."""
+    return meta.select(row_key(columns).alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias(to))

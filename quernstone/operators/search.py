@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import holds, phrase_terms
+from quernstone.operators.metadata import dictionary
 from quernstone.operators.tokens import words
 
 
@@ -40,31 +41,39 @@ def phrase_documents(tokens: DataFrame, phrase: str | None, documents: DataFrame
     return hits if within is None else hits.join(scope, "doc_id", "left_semi")
 
 
-def dictionary_values(meta: DataFrame, column: str, codes: set[int]) -> list[str]:
-    """Values of a column by their places among its sorted distinct values."""
-    wanted = sorted(c for c in codes if c >= 0)
-    if not wanted:
-        return []
-    first = meta.select(column).distinct().orderBy(column).limit(wanted[-1] + 1).collect()
-    return [first[c][0] for c in wanted if c < len(first)]
+def _by_code(wanted) -> bool:
+    return not isinstance(wanted, str) and bool(wanted) and all(isinstance(x, int) for x in wanted)
 
 
-def condition(meta: DataFrame, filters: dict | None) -> Column:
-    """All filters at once. A text is sought in the values whatever its case; a set holds values,
-    or codes of the sorted distinct values; the empty set matches nothing. Unknown columns fail."""
+def condition(filters: dict | None) -> Column:
+    """All filters by text or values at once; those by codes are left to filtered."""
     parts = []
     for column, wanted in (filters or {}).items():
-        if column not in meta.columns:
-            raise ValueError(f"no column {column}")
         if isinstance(wanted, str):
-            parts.append(holds(F.col(column).cast("string"), wanted))
-        elif wanted and all(isinstance(x, int) for x in wanted):
-            parts.append(F.col(column).isin(*dictionary_values(meta, column, set(wanted))))
-        else:
-            parts.append(F.col(column).isin(*wanted) if wanted else F.lit(False))
+            parts.append(holds(F.col(f"`{column}`").cast("string"), wanted))
+        elif not _by_code(wanted):
+            parts.append(F.col(f"`{column}`").isin(*wanted) if wanted else F.lit(False))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def filtered(rows: DataFrame, filters: dict | None, columns: list[str] | None = None) -> DataFrame:
+    """Rows that pass all filters. A text is sought in the values whatever its case; a set holds
+    values, or codes of the column's sorted distinct values; the empty set matches nothing.
+
+    Codes are those of all of rows, whatever the other filters; they are joined as a dictionary.
+    Unknown columns fail.
+    """
+    for column in filters or {}:
+        if column not in (rows.columns if columns is None else columns):
+            raise ValueError(f"no column {column}")
+    out = rows.filter(condition(filters))
+    for column, wanted in (filters or {}).items():
+        if _by_code(wanted):
+            values = dictionary(rows, column).filter(F.col("code").isin(*wanted)).select(F.col("value").alias(column))
+            out = out.join(values, column, "left_semi")
+    return out
+
+
 def page(df: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
     return df.orderBy("doc_id").offset(max(0, offset)).limit(limit)
 

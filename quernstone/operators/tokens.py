@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import spread, stream
 from quernstone.sources.readers import text_nodes
 
-#: A lexicon up to this many rows is sent to every task, a larger one is joined by shuffle.
+#: A lexicon up to this many rows and bytes is sent to every task, a larger one is joined by shuffle.
 LEXICON_ROWS = 500_000
+LEXICON_BYTES = 32 << 20
 KINDS = ("word", "text", "attr", "tag", "nospace", "end")
 
 
@@ -44,7 +45,8 @@ def lemmatized(tokens: DataFrame, lexicon: DataFrame | None = None) -> DataFrame
     if lexicon is None:
         return tokens.withColumn("lemma", word)
     entries = lexicon.groupBy("form").agg(F.min("lemma").alias("_lemma"))
-    if lexicon.limit(LEXICON_ROWS + 1).count() <= LEXICON_ROWS:
+    size = lexicon.limit(LEXICON_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.length("form") + F.length("lemma")).alias("chars")).first()
+    if size["n"] <= LEXICON_ROWS and 4 * (size["chars"] or 0) <= LEXICON_BYTES:
         entries = F.broadcast(entries)
     joined = tokens.withColumn("form", word).join(entries, "form", "left")
     return joined.withColumn("lemma", F.coalesce("_lemma", "form")).drop("form", "_lemma")
@@ -58,6 +60,24 @@ def token_frequencies(tokens: DataFrame, start: DataFrame | None = None) -> Data
     return counts.unionByName(start.select("kind", "value", "cnt")).groupBy("kind", "value").agg(F.sum("cnt").alias("cnt"))
 
 
+def lemma_ids(forms: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(form, lemma, id) of words (form): ids number the distinct lemmata from 0 in code-point order."""
+    words_ = forms.select("form").distinct().select(F.lit("word").alias("kind"), F.col("form").alias("value"))
+    pairs = lemmatized(words_, lexicon).select(F.col("value").alias("form"), "lemma")
+    return pairs.join(numbered(pairs.select("lemma").distinct(), [], "lemma", "id"), "lemma").select("form", "lemma", "id")
+
+
+def encoded_stream(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc_id, pos, id): tokens as ids of a vocabulary (kind, value, id)."""
+    keyed = tokens.select("doc_id", "pos", "kind", F.coalesce("value", F.lit("")).alias("value"))
+    return keyed.join(vocab, ["kind", "value"]).select("doc_id", "pos", "id")
+
+
+def decoded_stream(ids: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The inverse of encoded_stream: (doc_id, pos, kind, value)."""
+    return ids.join(vocab, "id").select("doc_id", "pos", "kind", F.when(F.col("kind").isin("nospace", "end"), F.lit(None)).otherwise(F.col("value")).alias("value"))
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(kind, value, id): distinct tokens numbered from 0, by kind, then in code-point order."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
@@ -70,7 +90,10 @@ def numbered(df: DataFrame, before: list[str], value: str, to: str) -> DataFrame
 
     Rows are sorted within groups of one two-letter prefix; only the groups' sizes meet in one task.
     """
-    df = df.withColumn("_p", F.substring(value, 1, 2))
+    return _within_prefixes(df.withColumn("_p", F.substring(value, 1, 2)), before, value, to)
+
+
+def _within_prefixes(df: DataFrame, before: list[str], value: str, to: str) -> DataFrame:
     group = [*before, "_p"]
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
     upto = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy(*group)) - F.col("_n")).drop("_n")
@@ -78,6 +101,32 @@ def numbered(df: DataFrame, before: list[str], value: str, to: str) -> DataFrame
     return df.withColumn("_i", inner).join(upto, group).withColumn(to, (F.col("_before") + F.col("_i") - 1).cast("long")).drop("_p", "_i", "_before")
 
 
+#: Rows of one prefix that are sorted in one task.
+PREFIX_ROWS = 1 << 20
+
+
+def ranked(df: DataFrame, value: str, to: str, rows: int = PREFIX_ROWS) -> DataFrame:
+    """Number rows with distinct texts from 0 in their order, also where most begin alike, as paths do.
+
+    Rows are sorted within groups of a common prefix. A group of more than rows rows is cut
+    further: its prefix grows by what all of it have in common and two letters, until no group is
+    larger. Only the groups' sizes meet in one task. df is read once for each growth.
+    """
+    df = df.withColumn("_p", F.substring(value, 1, 2))
+    while True:
+        large = df.filter(F.length(value) > F.length("_p")).groupBy("_p").agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b")).filter(F.col("n") > rows).limit(LEXICON_ROWS).collect()
+        if not large:
+            break
+        grown = df.sparkSession.createDataFrame([(r["_p"], len(_common(r["a"], r["b"])) + 2) for r in large], "_p string, _l int")
+        df = df.join(F.broadcast(grown), "_p", "left").withColumn("_p", F.when(F.col("_l").isNull(), F.col("_p")).otherwise(F.expr(f"substring(`{value}`, 1, _l)"))).drop("_l")
+    return _within_prefixes(df, [], value, to)
+
+
+def _common(a: str, b: str) -> str:
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
 def lemma_counts(tokens: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """(lemma, cnt) for every lemma of the corpus; counts are of the documents in within, or of all.
 

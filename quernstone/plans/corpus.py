@@ -2,26 +2,30 @@
 
 Layout of a written corpus, one Parquet table each: documents (doc_id, path, metadata columns),
 tokens (doc_id, pos, kind, value, lemma) in doc_id order, postings (lemma, doc_id, tf) in lemma
-order, so that row groups can be skipped by either key; contexts/<name>; info.json.
+order, so that row groups can be skipped by either key; lexicon (form, lemma); info; contexts. A
+corpus and each of its contexts are folders of versions, of which the newest is read.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import time
 from dataclasses import dataclass, field
+from threading import Thread
 from urllib.parse import quote, unquote
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import phrase_terms
 from quernstone.operators import keyness, metadata, render, search, tokens
-from quernstone.sources import readers
+from quernstone.sources import readers, versions
 
 #: Names that mean the whole corpus.
 WHOLE = (None, "")
+#: How marked hits look unless a corpus's own header says otherwise; fixed values.
+DEFAULT_STYLE = "<style>.match { background-color: yellow; } .selected { font-size: 150%; }</style>"
 
 
 @dataclass
@@ -39,6 +43,7 @@ class Corpus:
     def __init__(self, documents: DataFrame, toks: DataFrame, columns: list[str], path: str | None = None, posts: DataFrame | None = None, info: dict | None = None):
         self.documents, self.tokens, self.columns, self.path = documents, toks, columns, path
         self.posts, self.info = posts, info or {}
+        self.unknown_is_whole = False
         self.contexts: dict[str, tuple[str, DataFrame]] = {}
         self._counts: dict[tuple[str, int], DataFrame] = {}
         self._version: dict[str, int] = {}
@@ -63,45 +68,55 @@ class Corpus:
         """From a CSV with a file column, or a folder of HTML files. Documents are numbered by path order."""
         meta = readers.metadata(spark, source)
         columns = [c for c in meta.columns if c != "file"]
-        read = tokens.numbered(readers.texts(spark, meta).withColumn("_at", F.col("file")), [], "_at", "doc_id")
-        pages = read.withColumnRenamed("file", "path").drop("_at")
+        # paths alone are numbered; the texts join them afterwards
+        numbers = tokens.ranked(meta.select("file").distinct(), "file", "doc_id")
+        read = readers.texts(spark, meta, source if readers.is_folder(spark, source) else None)
+        pages = read.join(numbers, "file").withColumnRenamed("file", "path")
         return cls.of_pages(pages, columns, "doc_id", "html", "path", lexicon)
 
     def write(self, path: str) -> Corpus:
-        """Writes the corpus and opens what is written. The tables appear under the name only when done."""
+        """Writes the corpus and opens what is written: a new version, seen only when complete."""
         spark = self.documents.sparkSession
-        fs, target = readers._fs(spark, path)
-        staging = f"{path}.building-{int(time.time() * 1000)}"
+        staging = versions.staging(path)
         self.documents.write.parquet(f"{staging}/documents")
         self.tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "pos").write.parquet(f"{staging}/tokens")
         written = spark.read.parquet(f"{staging}/tokens")
         tokens.postings(written).repartitionByRange("lemma").sortWithinPartitions("lemma", "doc_id").write.parquet(f"{staging}/postings")
+        written.filter("kind = 'word'").select(F.col("value").alias("form"), "lemma").distinct().write.parquet(f"{staging}/lexicon")
         spark.createDataFrame([(json.dumps({"columns": self.columns, **self.info}),)], "value string").coalesce(1).write.text(f"{staging}/info")
-        if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), target)
+        versions.publish(spark, staging, path)
         return Corpus.open(spark, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Corpus:
+        path = versions.latest(spark, path) or path
         info = json.loads(spark.read.text(f"{path}/info").first()[0])
         columns = info.pop("columns")
         table = lambda t: spark.read.parquet(f"{path}/{t}")
         corpus = cls(table("documents"), table("tokens"), columns, path, table("postings"), info)
-        fs, at = readers._fs(spark, f"{path}/contexts")
-        if fs.exists(at):
-            for s in fs.listStatus(at):
-                name = unquote(s.getPath().getName())
-                df = spark.read.parquet(str(s.getPath()))
-                note = json.loads(spark.read.text(f"{path}/notes/{quote(name, safe='')}").first()[0])
-                corpus.contexts[name] = (note["description"], df)
+        for safe, _ in versions.names(spark, f"{path}/contexts"):
+            at = versions.latest(spark, f"{path}/contexts/{safe}")
+            if at:
+                note = json.loads(spark.read.text(f"{at}/note").first()[0])
+                corpus.contexts[unquote(safe)] = (note["description"], spark.read.parquet(f"{at}/ids"))
         return corpus
 
+    def lexicon(self) -> DataFrame:
+        """(form, lemma, id): each form of the corpus with its lemma and the lemma's number."""
+        if self.path:
+            pairs = self.documents.sparkSession.read.parquet(f"{self.path}/lexicon")
+        else:
+            pairs = tokens.words(self.tokens).select(F.col("value").alias("form"), "lemma").distinct()
+        return tokens.lemma_ids(pairs.select("form"), pairs)
+
     # -- sub-corpora -------------------------------------------------------------------------
 
     def context(self, name: str | None) -> DataFrame | None:
-        """Document ids of a sub-corpus, None for the whole corpus. An unknown name is an error."""
-        if name in WHOLE:
+        """Document ids of a sub-corpus, None for the whole corpus.
+
+        An unknown name is an error, or the whole corpus if unknown_is_whole is set.
+        """
+        if name in WHOLE or (self.unknown_is_whole and name not in self.contexts):
             return None
         if name not in self.contexts:
             raise KeyError(f"no context {name}")
@@ -111,35 +126,58 @@ class Corpus:
         """Names a query's documents, all pages of them. In a written corpus the context is written."""
         ids = self.select(query).select("doc_id")
         if self.path:
-            spark, safe = ids.sparkSession, quote(name, safe="")
-            made = f"{self.path}/contexts/{safe}"
-            staging = f"{self.path}/context-{int(time.time() * 1000)}"
-            ids.write.parquet(staging)
-            fs, at = readers._fs(spark, made)
-            fs.delete(at, True)
-            fs.mkdirs(at.getParent())
-            fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging), at)
+            spark = ids.sparkSession
+            home = f"{self.path}/contexts/{quote(name, safe='')}"
+            staging = versions.staging(home)
+            ids.write.parquet(f"{staging}/ids")
             note = json.dumps({"description": repr(query)})
-            spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/notes/{safe}")
-            ids = spark.read.parquet(made)
+            spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{staging}/note")
+            ids = spark.read.parquet(f"{versions.publish(spark, staging, home)}/ids")
         self.contexts[name] = (repr(query), ids)
+        old = self._counts.pop((name, self._version.get(name, 0)), None)
+        if old is not None:
+            old.unpersist()
         self._version[name] = self._version.get(name, 0) + 1
         return ids
 
+    def close(self) -> None:
+        """Lets go of the kept counts."""
+        for df in self._counts.values():
+            df.unpersist()
+        self._counts.clear()
+
     # -- questions ---------------------------------------------------------------------------
 
     def select(self, query: Query) -> DataFrame:
         """All documents of a query, unordered: sub-corpus, then phrase, then filters."""
-        rows = self.documents.filter(search.condition(self.documents.select(*self.columns), query.filters))
+        rows = search.filtered(self.documents, query.filters, self.columns)
         within = self.context(query.within)
         terms = phrase_terms(query.phrase)
-        if terms and len(terms) == 1 and self.posts is not None:
-            hits = self.postings_of(terms[0]).select("doc_id")
-            rows = rows.join(hits, "doc_id", "left_semi")
-        elif terms:
-            rows = rows.join(search.phrase_positions(self.tokens, terms).select("doc_id"), "doc_id", "left_semi")
+        if terms:
+            rows = rows.join(self.phrase_documents(terms, within), "doc_id", "left_semi")
         return rows if within is None else rows.join(within, "doc_id", "left_semi")
 
+    def phrase_documents(self, terms: list[str], within: DataFrame | None = None) -> DataFrame:
+        """(doc_id) of the documents that hold the phrase.
+
+        In a written corpus the documents of all terms come from the postings, which are sorted by
+        lemma; only these documents' tokens of the terms are read on. A single term needs no tokens.
+        """
+        if self.posts is None:
+            return search.phrase_positions(self.tokens, terms).select("doc_id")
+        distinct = sorted(set(terms))
+        found = self.posts.filter(F.col("lemma").isin(*distinct))
+        if len(distinct) == 1:
+            documents = found.filter(F.col("tf") >= len(terms)).select("doc_id")
+        else:
+            documents = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") == len(distinct)).select("doc_id")
+        if within is not None:
+            documents = documents.join(within, "doc_id", "left_semi")
+        if len(terms) == 1:
+            return documents
+        toks = self.tokens.filter(F.col("lemma").isin(*distinct)).join(documents, "doc_id", "left_semi")
+        return search.phrase_positions(toks, terms).select("doc_id")
+
     def get_documents(self, query: Query) -> DataFrame:
         """A page of a query's documents in doc_id order: (doc_id, path, metadata)."""
         return search.page(self.select(query), query.offset, query.limit)
@@ -191,8 +229,30 @@ class Corpus:
         first = self.documents.filter(F.col("path") == path).agg(F.min("doc_id")).first()[0]
         if first is None:
             return None
-        rows = render.rendered(self.tokens.filter(F.col("doc_id") == first), phrase_terms(phrase), "html", self.info.get("html-header", "")).collect()
-        return rows[0]["body"] if rows else ""
+        rows = self.views(phrase, self.tokens.filter(F.col("doc_id") == first)).collect()
+        return rows[0]["body"] if rows else self.style()
+
+    def style(self) -> str:
+        """What stands before a shown document: the default style, then the corpus's own header."""
+        return DEFAULT_STYLE + self.info.get("html-header", "")
+
+    def views(self, phrase: str | None = None, toks: DataFrame | None = None) -> DataFrame:
+        """(doc_id, body) of all documents, or those of toks, as shown: style, then HTML with hits marked."""
+        shown = render.rendered(self.tokens if toks is None else toks, phrase_terms(phrase), "html")
+        return shown.select("doc_id", F.concat(F.lit(self.style()), "body").alias("body"))
+
+    def first_of_paths(self) -> DataFrame:
+        """(path, doc_id): the document that a path stands for, the first of those that share it."""
+        return self.documents.groupBy("path").agg(F.min("doc_id").alias("doc_id"))
+
+    def layout(self) -> list[tuple[str, str, float]]:
+        return metadata.layout(self.columns, self.info.get("columns-shown"))
+
+    def card(self, doc_id: int):
+        """The document's card: the corpus's vignette filled in, or a row for each column."""
+        values = {r["name"]: r["value"] for r in metadata.card(self.documents, doc_id, self.columns).collect()}
+        template = self.info.get("vignette")
+        return metadata.filled(template, values) if template else [[c, values.get(c)] for c in self.columns]
 
     def frequency_csv(self, path: str, name: str | None = None) -> None:
         """Writes the frequency list as one CSV without a header."""
@@ -210,10 +270,10 @@ class Engine:
 
     def get_corpora(self) -> DataFrame:
         """(corpus_id, name, num_documents) by name. Counts come from file footers; ids last for the session."""
-        fs, at = readers._fs(self.spark, self.home)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory() and ".building-" not in s.getPath().getName()) if fs.exists(at) else []
+        found = {n: versions.latest(self.spark, f"{self.home}/{n}") for n, folder in versions.names(self.spark, self.home) if folder}
+        names = sorted(n for n, at in found.items() if at)
         self._ids += [n for n in names if n not in self._ids]
-        rows = [(self._ids.index(n), n, self.spark.read.parquet(f"{self.home}/{n}/documents").count()) for n in names]
+        rows = [(self._ids.index(n), n, self.spark.read.parquet(f"{found[n]}/documents").count()) for n in names]
         return self.spark.createDataFrame(rows, "corpus_id int, name string, num_documents long").orderBy("name")
 
     def corpus(self, name: str | int | None) -> Corpus | None:
@@ -238,6 +298,13 @@ class Engine:
             sc.setJobDescription(None)
         return self._open[name]
 
+    def start_corpus(self, name: str, source: str, lexicon: DataFrame | None = None) -> Thread:
+        """create_corpus in the background; get_task_info tells of it, and the corpus appears when done."""
+        self.task = f"Building {name}"
+        thread = InheritableThread(target=self.create_corpus, args=(name, source, lexicon))
+        thread.start()
+        return thread
+
     def get_task_info(self) -> dict | None:
         """What is being built and how many tasks are under way; None if nothing is."""
         if self.task is None:

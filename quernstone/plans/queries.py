@@ -145,7 +145,7 @@ QUERIES = {
     "phrase_documents": lambda s, d: _phrase(s, d, "the of"),
     "phrase_documents_en": lambda s, d: _phrase(s, d, "the of", _lang(s, d, "en")),
     "phrase_positions": lambda s, d: _starts(s, d, "the of"),
-    "phrase_three_words": lambda s, d: _starts(s, d, "the of the"),
+    "phrase_three_words": lambda s, d: _starts(s, d, "the the the"),
     "phrase_repeated_word": lambda s, d: _starts(s, d, "the the"),
     "phrase_unknown": lambda s, d: _phrase(s, d, "the qqqq"),
     "phrase_double_space": lambda s, d: _phrase(s, d, "the  of"),
@@ -166,7 +166,7 @@ QUERIES = {
     "meta_codes": _codes,
     "meta_encoded": lambda s, d: metadata.encoded(_labelled(s, d).select("doc_id", "lang", "source"), ["lang", "source"]).select("doc_id", "lang", "source"),
     "meta_card": lambda s, d: metadata.card(_labelled(s, d), 7, _META),
-    "meta_contains": lambda s, d: _read(s, d, "part").filter(holds(F.col("p_type"), "BRASS")).select("p_partkey", "p_type"),
+    "meta_contains": lambda s, d: _read(s, d, "part").filter(holds(F.col("p_type"), "Medi")).select("p_partkey", "p_type"),
     "page_words": lambda s, d: tokens.token_frequencies(_pages(s, d)).select("value", "cnt"),
     "page_phrase_documents": lambda s, d: search.phrase_documents(_pages(s, d), "the of", _read(s, d, "pages").select(F.col("page_id").alias("doc_id"))),
     "page_tags": _page_tags,
@@ -229,7 +229,7 @@ ORACLES = {
     "phrase_documents": _T + f"SELECT DISTINCT doc_id FROM ({_phrase_sql('the', 'of')})",
     "phrase_documents_en": _T + f"SELECT DISTINCT doc_id FROM ({_phrase_sql('the', 'of')}) JOIN documents USING (doc_id) WHERE lang = 'en'",
     "phrase_positions": _T + _phrase_sql("the", "of"),
-    "phrase_three_words": _T + _phrase_sql("the", "of", "the"),
+    "phrase_three_words": _T + _phrase_sql("the", "the", "the"),
     "phrase_repeated_word": _T + _phrase_sql("the", "the"),
     "phrase_unknown": "SELECT doc_id FROM documents WHERE false",
     "phrase_double_space": "SELECT doc_id FROM documents WHERE false",
@@ -251,7 +251,7 @@ ORACLES = {
     "meta_codes": _LAB + "SELECT source AS value, row_number() OVER (ORDER BY source) - 1 AS code FROM (SELECT DISTINCT source FROM m)",
     "meta_encoded": _LAB + "SELECT doc_id, dense_rank() OVER (ORDER BY lang) - 1 AS lang, dense_rank() OVER (ORDER BY source) - 1 AS source FROM m",
     "meta_card": _LAB.replace("FROM m)", "FROM m WHERE doc_id = 7)").replace("FROM m UNION", "FROM m WHERE doc_id = 7 UNION") + "SELECT name, value FROM cells",
-    "meta_contains": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'brass')",
+    "meta_contains": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'medi')",
     "page_words": _P + "SELECT v AS value, count(*) AS cnt FROM w GROUP BY v",
     "page_phrase_documents": _P + f"SELECT DISTINCT doc_id FROM ({_phrase_sql('the', 'of')})",
     "page_tags": f"SELECT value, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '(<script[^>]*>).*?</script>|(<style[^>]*>).*?</style>', '\\1\\2', 'gsi'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS value FROM pages) GROUP BY value",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import RUNS, absolute
+from quernstone.sources.versions import fs_of, names
 
 HTML_NAME = r"(?i)\.html?$"
 
@@ -30,35 +31,49 @@ def folder_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """A folder's files, or a CSV's rows."""
-    return folder_metadata(spark, path) if _status(spark, path).isDirectory() else csv_metadata(spark, path)
+    return folder_metadata(spark, path) if is_folder(spark, path) else csv_metadata(spark, path)
 
 
-def texts(spark: SparkSession, meta: DataFrame) -> DataFrame:
-    """meta with the content of each file as html; the files' folders are read once, in parallel."""
-    folders = [r[0] for r in meta.select(F.regexp_replace("file", "/[^/]*$", "").alias("f")).distinct().collect()]
-    if not folders:
-        return meta.withColumn("html", F.lit(None).cast("string"))
-    plain = lambda c: F.regexp_replace(c, r"^file:/*", "/")
-    read = spark.read.option("wholetext", True).text(folders).select(plain(F.col("_metadata.file_path")).alias("_at"), F.col("value").alias("html"))
-    return meta.withColumn("_at", plain(F.col("file"))).join(read, "_at", "left").drop("_at")
+#: Folders of a CSV's files that are read by name; of more, what they have in common is read.
+MOST_FOLDERS = 10_000
+_HTML_GLOB = "*.[hH][tT][mM]*"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+def plain_path(path: Column) -> Column:
+    """The path without scheme where it is a local one: Spark and CSVs write it in several ways."""
+    return F.regexp_replace(path, r"^file:/*", "/")
 
 
-def _status(spark: SparkSession, path: str):
-    fs, at = _fs(spark, path)
-    return fs.getFileStatus(at)
+def texts(spark: SparkSession, meta: DataFrame, source: str | None = None) -> DataFrame:
+    """meta with the content of each file as html, null where there is no such file.
+
+    With source, the folder that meta lists, just its HTML files are read. Else the files' folders
+    are read once, in parallel; of more than MOST_FOLDERS the folder above them all, and below it.
+    """
+    read = spark.read
+    if source is not None:
+        read = read.option("recursiveFileLookup", True).option("pathGlobFilter", _HTML_GLOB).text(source, wholetext=True)
+    else:
+        folder = F.regexp_replace("file", "/[^/]*$", "")
+        folders = [r[0] for r in meta.select(folder.alias("f")).distinct().limit(MOST_FOLDERS + 1).collect()]
+        if not folders:
+            return meta.withColumn("html", F.lit(None).cast("string"))
+        if len(folders) > MOST_FOLDERS:
+            ends = meta.agg(F.min("file"), F.max("file")).first()
+            folders, read = [posixpath.commonprefix(list(ends)).rsplit("/", 1)[0] or "/"], read.option("recursiveFileLookup", True)
+        read = read.text(folders, wholetext=True)
+    rows = read.select(plain_path(F.col("_metadata.file_path")).alias("_at"), F.col("value").alias("html"))
+    return meta.withColumn("_at", plain_path(F.col("file"))).join(rows, "_at", "left").drop("_at")
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = fs_of(spark, path)
+    return fs.getFileStatus(at).isDirectory()
 
 
 def listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(name, is folder) of a folder's sub-folders and CSV files, by name."""
-    fs, at = _fs(spark, path)
-    found = [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(at)]
-    return sorted((n, d) for n, d in found if d or n.endswith(".csv"))
+    return sorted((n, d) for n, d in names(spark, path) if d or n.endswith(".csv"))
 
 
 # ---- HTML -------------------------------------------------------------------------------------
@@ -144,6 +159,8 @@ def page_tokens(pages: DataFrame, key: str = "doc_id", html: str = "html", raw:
         for pdf in batches:
             for key_, source in zip(pdf["k"], pdf["h"], strict=True):
                 tokens = page_stream(source, raw)
+                if not tokens:
+                    continue
                 yield pd.DataFrame({"doc_id": key_, "pos": range(len(tokens)), "kind": [t[0] for t in tokens], "value": [t[1] for t in tokens]})
 
     return pages.select(F.col(key).cast("long").alias("k"), F.col(html).cast("string").alias("h")).mapInPandas(run, "doc_id long, pos int, kind string, value string")

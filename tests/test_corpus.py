@@ -24,6 +24,11 @@ def corpus(docs):
     return Corpus.of_texts(docs, ["k"])
 
 
+@pytest.fixture(scope="module")
+def written(corpus, tmp_path_factory):
+    return corpus.write(str(tmp_path_factory.mktemp("written") / "c"))
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("kot, pies-1", ["kot", None, ",", "pies", None, "-", None, "1"]), ("  a\nb ", ["a", "b"]), ("", []), (None, []), ("éx", ["e", None, "́", None, "x"]), ("a\tb", ["a", None, "\t", None, "b"]), ("a b", ["a", None, " ", None, "b"])],
@@ -64,11 +69,11 @@ def test_types(spark, values, want):
 
 def test_filters(spark):
     meta = spark.createDataFrame([(0, "b"), (1, "a"), (2, "B"), (3, "")], "doc_id long, k string")
-    hit = lambda f: {r.doc_id for r in meta.filter(search.condition(meta.select("k"), f)).collect()}
+    hit = lambda f: {r.doc_id for r in search.filtered(meta, f, ["k"]).collect()}
     assert hit({"k": "b"}) == {0, 2} and hit({"k": ""}) == {0, 1, 2, 3} and hit({"k": {3}}) == {0} and hit({"k": {0, 1}}) == {2, 3}
     assert hit({"k": set()}) == set() and hit({}) == {0, 1, 2, 3} and hit({"k": {"a"}}) == {1} and hit({"k": "%"}) == set()
     with pytest.raises(ValueError):
-        search.condition(meta, {"nothing": "x"})
+        search.filtered(meta, {"nothing": "x"})
 
 
 def test_facets_bound(spark):
@@ -166,7 +171,7 @@ def test_paging(spark):
 
 def test_small_helpers(spark):
     df = spark.createDataFrame([("a.tar.gz", "+5", "x", "y", "z")], "a string, b string, c string, d string, e string")
-    assert tuple(df.select(drop_ext(F.col("a")), as_int(F.col("b")), row_key(df.columns)).first()) == ("a", 5, "a.tar.gz/+5/x/z")
+    assert tuple(df.select(drop_ext(F.col("a")), as_int(F.col("b")), row_key([df.columns[i] for i in (0, 1, 2, 4)])).first()) == ("a", 5, "a.tar.gz/+5/x/z")
     assert metadata.label("tYTUŁ") == "Tytuł"
 
 
@@ -224,3 +229,57 @@ def test_filter_toggles():
     assert f == {"k": {"a"}} and search.toggled(f, "k", "b", ["a", "b"]) == {"k": {"a", "b"}}
     assert search.with_none(f, "k") == {"k": set()} and search.with_all(f, "k") == {} and search.with_text({"z": "y"}, "k", "b") == {"z": "y", "k": "b"}
     assert search.with_text({"k": "b"}, "k", "") == {}
+
+
+def test_files_of_many_lines_are_one_document(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.html").write_text("<html><body><p>kot\npies</p>\n<p>lew</p>\n</body></html>\n")
+    (tmp_path / "in/all.csv").write_text("file,k\na.html,x\nmissing.html,y\n")
+    for source in ("in", "in/all.csv"):
+        c = Corpus.of_files(spark, str(tmp_path / source))
+        assert [r.lemma for r in c.tokens.filter("kind = 'word' AND doc_id = 0").orderBy("pos").collect()] == ["kot", "pies", "lew"]
+        assert c.documents.count() == (1 if source == "in" else 2)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1 << 20])
+def test_ranks_of_texts_that_begin_alike(spark, rows):
+    """No group of the cut is larger than asked, whatever all texts have in common."""
+    rng = random.Random(4)
+    paths = {f"/data/corpora/novels/part-{rng.randrange(4)}/{'x' * rng.randrange(3)}{rng.randrange(60)}.html" for _ in range(80)} | {"/data", "/data/corpora/novels/part-", "b", ""}
+    df = spark.createDataFrame([(p, 1) for p in paths], "file string, k int").repartition(3)
+    got = {r.file: r.n for r in tokens.ranked(df, "file", "n", rows).collect()}
+    assert got == {p: i for i, p in enumerate(sorted(paths))}
+
+
+def test_versions(spark, corpus, tmp_path):
+    """A corpus that is written again is replaced at once; who has the old one open can still read it."""
+    at = str(tmp_path / "c")
+    old = corpus.write(at)
+    old.create_context("a", Query("kot"))
+    old.create_context("a", Query("pies"))
+    assert {r.doc_id for r in Corpus.open(spark, at).context("a").collect()} == {0, 1, 3, 4}
+    new = Corpus.of_texts(spark.createDataFrame([(9, "lew", "z")], "doc_id long, text string, k string"), ["k"]).write(at)
+    assert new.documents.count() == 1 and Corpus.open(spark, at).contexts == {} and old.documents.count() == 5
+    assert [r.form for r in new.lexicon().collect()] == ["lew"]
+
+
+@pytest.mark.parametrize("phrase", ["kot", "kot pies", "kot kot", "kot kot kot", "kot lew", "pies kot", " kot", "Kot pies"])
+def test_written_phrases(corpus, written, phrase):
+    """Documents by postings first are those of a scan of all tokens."""
+    assert {r.doc_id for r in written.select(Query(phrase)).collect()} == {r.doc_id for r in corpus.select(Query(phrase)).collect()}
+
+
+def test_counts_are_let_go(corpus):
+    corpus.create_context("v", Query("kot"))
+    first = corpus.counts("v")
+    first.count()
+    corpus.create_context("v", Query("pies"))
+    assert not first.is_cached and corpus.counts("v") is not first
+    corpus.close()
+    with pytest.raises(KeyError):
+        corpus.select(Query(within="nowhere"))
+
+
+def test_cards_and_columns():
+    assert metadata.filled(["b", "meta/k", ["i", "text", 5]], {"k": "v"}) == ["b", "v", ["i", "text", 5]]
+    assert metadata.layout([]) == [] and metadata.layout(["a"], {"a": {"width": 50}}) == [("a", "A", 50.0)]

@@ -6,7 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quernstone.plans.queries import ORACLES, QUERIES
+from __spark_entry__ import _own
+
+QUERIES, ORACLES = _own()
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
