@@ -63,12 +63,13 @@ def _for_salts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts() - 1)))
 
 
-def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified: Callable[[DataFrame], DataFrame] | None = None, attrs: DataFrame | None = None) -> DataFrame:
     """Groups of nodes that meet in a bucket and are linked.
 
-    keys: (bucket long, node long, attr, probe boolean), read more than once. Two nodes are
-    a candidate pair if they share a bucket, one of them probes it and near(attr, attr) holds;
-    verified takes pairs (a, b) and keeps the true ones. Returns (node, root) for every node with
+    keys: (bucket long, node long, probe boolean), read twice; without probe all nodes probe all
+    their buckets. attrs: (node, attr), a row for each node; without it a node is its own attr, or keys
+    have it. Two nodes are a candidate pair if they share a bucket, one of them probes it and
+    near(attr, attr) holds; verified takes pairs (a, b) and keeps the true ones. Returns (node, root) for every node with
     a link; root is the least node reachable. Exactly the components of all true pairs:
 
     1. each bucket's least node is paired with the others (rows in proportion to members);
@@ -80,7 +81,14 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     verified = verified or (lambda pairs: pairs)
     # counts meet before the shuffle, and most buckets have one member and end here
     shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = Table(keys.join(small(shared.df, 24), "bucket"), "keys")
+    members = keys.join(small(shared.df, 24), "bucket")
+    members = members if "probe" in keys.columns else members.withColumn("probe", F.lit(True))
+    if attrs is None:
+        members = members if "attr" in keys.columns else members.withColumn("attr", F.col("node"))
+    else:
+        # what nodes are compared by meets only those that share a bucket
+        members = Table(members, "members").df.join(attrs, "node")
+    members = Table(members, "keys")
     heads = members.df.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.first("n").alias("n")).filter("head != last")
     kept = Table(_salted(members.df).join(_for_salts(heads).select("bucket", "salt", "head"), ["bucket", "salt"]), "keys")
     heads = kept.df.filter("node = head").groupBy("bucket").agg(F.min("attr").alias("head_attr"), F.first("n").alias("n"))

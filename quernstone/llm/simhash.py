@@ -130,7 +130,7 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = np.zeros(keys.shape, bool)
             own[:, 0] = True
             nodes = np.broadcast_to(fp[:, None], keys.shape)[new]
-            yield pd.DataFrame({"bucket": (head[:, None] | keys)[new], "node": nodes, "attr": nodes, "probe": own[new]})
+            yield pd.DataFrame({"bucket": (head[:, None] | keys)[new], "node": nodes, "probe": own[new]})
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """
     fp = Table(fingerprints(docs, width), "fingerprints").df
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    keys = Table(dealt(nodes.select("fp"), "fp").mapInPandas(_buckets, "bucket long, node long, attr long, probe boolean"), "codewords").df
+    keys = Table(dealt(nodes.select("fp"), "fp").mapInPandas(_buckets, "bucket long, node long, probe boolean"), "codewords").df
     roots = Table(grouped(keys, _near), "roots").df
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     first = labelled.groupBy("root").agg(F.min("least").alias("component_id"))

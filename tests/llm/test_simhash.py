@@ -65,7 +65,7 @@ def test_every_pair_within_two_bits_meets(spark):
             a, b = rng.integers(0, 63, 2)
             fps.add(int(c) ^ (1 << int(a)) ^ (1 << int(b)))
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    keys = df.mapInPandas(simhash._buckets, "bucket long, node long, attr long, probe boolean")
+    keys = df.mapInPandas(simhash._buckets, "bucket long, node long, probe boolean")
     got = {r.node: r.root for r in grouped(keys, simhash._near).collect()}
     from tests.llm.conftest import Groups
 
