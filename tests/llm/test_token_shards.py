@@ -16,13 +16,31 @@ def test_grammar_round_trip():
             ids = (rng.zipf(1.3, n) % v).astype(np.uint32)
             rules, lengths, seq = T.compress(ids, v, rounds=6, least=2)
             assert (T.expand(rules, lengths, seq, v) == ids).all()
-            shard = {"base": v, "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "sequence": seq.astype("<u4").tobytes()}
-            for a, b in ((0, n), (n // 3, n // 2), (n, n)):
+            size = np.where(seq < v, 1, lengths[np.maximum(seq.astype(int) - v, 0)] if len(lengths) else 1)
+            offsets = (np.cumsum(size) - size)[:: T.STRIDE].astype("<u8")
+            shard = {"base": v, "n_tokens": n, "offsets": offsets.tobytes(), "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "sequence": seq.astype("<u4").tobytes()}
+            for a, b in ((0, n), (n // 3, n // 2), (n, n), (n - 1, n), (n // 2, n // 2 + 1), (n - 3, n + 9)):
+                a = max(0, a)
                 assert (T.token_range(shard, a, b) == ids[a:b]).all()
     rules, lengths, seq = T.compress(np.tile(np.arange(8, dtype=np.uint32), 4000), 8)
     assert len(seq) < 8000 and lengths.max() > 2
 
 
+def test_a_range_expands_only_what_it_reaches(monkeypatch):
+    rng = np.random.default_rng(3)
+    passages = [rng.integers(0, 30000, 60) for _ in range(300)]
+    ids = np.concatenate([passages[k] for k in rng.integers(0, 300, 12000)]).astype(np.uint32)
+    rules, lengths, seq = T.compress(ids, 30000)
+    size = np.where(seq < 30000, 1, lengths[np.maximum(seq.astype(int) - 30000, 0)])
+    offsets = (np.cumsum(size) - size)[:: T.STRIDE].astype("<u8")
+    shard = {"base": 30000, "n_tokens": len(ids), "offsets": offsets.tobytes(), "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "sequence": seq.astype("<u4").tobytes()}
+    used, plain = [], T.expand
+    monkeypatch.setattr(T, "expand", lambda r, *rest: (used.append(len(r)), plain(r, *rest))[1])
+    for at in rng.integers(0, len(ids) - 90, 40).tolist():
+        assert (T.token_range(shard, at, at + 90) == ids[at : at + 90]).all()
+    assert len(rules) > 3000 and max(used) < 400
+
+
 def test_no_frequent_pair_is_left():
     """Whatever the length, rules are as deep as repeated passages need."""
     rng = np.random.default_rng(2)
