@@ -79,21 +79,27 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     Members of a large bucket are dealt to many tasks, and what they are joined with goes to each.
     """
     verified = verified or (lambda pairs: pairs)
-    # counts meet before the shuffle, and most buckets have one member and end here
-    shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = keys.join(small(shared.df, 24), "bucket")
+    # counts meet before the shuffle; most buckets have one member and end here, most others two,
+    # whose pair their least and greatest node are
+    counted = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi")
+    shared = Table(counted, "buckets").df
+    two = Table(shared.filter("n = 2").select(F.col("hi").alias("a"), F.col("lo").alias("b")).distinct(), "twos").df
+    members = keys.join(small(Table(shared.filter("n > 2").select("bucket", "n"), "shared").df, 24), "bucket")
     members = members if "probe" in keys.columns else members.withColumn("probe", F.lit(True))
     if attrs is None:
-        members = members if "attr" in keys.columns else members.withColumn("attr", F.col("node"))
+        members = members.withColumn("attr", F.col("node"))
+        two = two.filter(near(F.col("a"), F.col("b")))
     else:
         # what nodes are compared by meets only those that share a bucket
         members = Table(members, "members").df.join(attrs, "node")
+        of = lambda end: attrs.select(F.col("node").alias(end), F.col("attr").alias(f"attr_{end}"))
+        two = two.join(of("b"), "b").join(of("a"), "a").filter(near(F.col("attr_a"), F.col("attr_b"))).select("a", "b")
     members = Table(members, "keys")
     heads = members.df.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.first("n").alias("n")).filter("head != last")
     kept = Table(_salted(members.df).join(_for_salts(heads).select("bucket", "salt", "head"), ["bucket", "salt"]), "keys")
     heads = kept.df.filter("node = head").groupBy("bucket").agg(F.min("attr").alias("head_attr"), F.first("n").alias("n"))
     stars = kept.df.filter("node != head").join(_for_salts(heads).drop("n"), ["bucket", "salt"]).filter(near(F.col("attr"), F.col("head_attr")))
-    pairs = Table(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+    pairs = Table(stars.select(F.col("node").alias("a"), F.col("head").alias("b")).union(two).distinct(), "stars")
     first = Table(components(verified(pairs.df)), "groups")
     k = kept.df.join(first.df.withColumnsRenamed({"root": "g"}), "node", "left").withColumn("g", F.coalesce("g", "node"))
     # a bucket's least node has been compared with all of it: what is left are the others
