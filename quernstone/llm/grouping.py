@@ -67,10 +67,11 @@ def grouped(keys: DataFrame, near: Callable[[Column, Column], Column], verified:
     """Groups of nodes that meet in a bucket and are linked.
 
     keys: (bucket long, node long, probe boolean), read twice; without probe all nodes probe all
-    their buckets. attrs: (node, attr), a row for each node; without it a node is its own attr, or keys
-    have it. Two nodes are a candidate pair if they share a bucket, one of them probes it and
-    near(attr, attr) holds; verified takes pairs (a, b) and keeps the true ones. Returns (node, root) for every node with
-    a link; root is the least node reachable. Exactly the components of all true pairs:
+    their buckets. attrs: (node, attr), a row for each node; without it a node is its own attr.
+    Two nodes are a candidate pair if they share a bucket, one of them probes it and
+    near(attr, attr) holds; verified takes pairs (a, b) and keeps the true ones. Returns
+    (node, root) for every node with a link; root is the least node reachable. Exactly the
+    components of all true pairs:
 
     1. each bucket's least node is paired with the others (rows in proportion to members);
     2. buckets whose other members are now all in one group, or just one, are done, whatever their size;
