@@ -41,6 +41,8 @@ STRIDE = 1024
 _CACHE_WORDS = 1_000_000
 _CACHE_CHARS = 48
 _HASH_BITS = 20
+#: So few pairs are sorted without counting their hashes before.
+_FEW = 1 << 14
 
 SCHEMA = "part int, shard int, first_token long, n_tokens long, base long, doc_ids array<long>, doc_tokens binary, offsets binary, rules binary, lengths binary, sequence binary"
 
@@ -60,11 +62,17 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int
     known = base
     lengths = np.zeros(0, np.int64)
     bar = max(least, len(seq) // 1024)
+    fresh = None
     for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
-        slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
-        often = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= bar)[slot])
+        left, right = (seq[:-1], seq[1:]) if fresh is None else (seq[fresh], seq[fresh + 1])
+        if len(left) >= _FEW:
+            slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - _HASH_BITS)
+            often = np.flatnonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= bar)[slot])
+            often = often if fresh is None else fresh[often]
+        else:
+            often = np.arange(len(left)) if fresh is None else fresh
         code = seq[often].astype(np.int64) << 32 | seq[often + 1]
         ordered = np.sort(code)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(code) else np.zeros(0, np.int64)
@@ -72,7 +80,8 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int
         which = np.searchsorted(pairs, code)
         which[which == len(pairs)] = 0
         live = pairs[which] == code if len(pairs) else np.zeros(len(code), bool)
-        at, which = often[live], which[live]
+        hits, which = often[live], which[live]
+        at = hits
         # in a run of neighbouring hits every other one is replaced, from the left
         run = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
         rank = np.arange(len(at))
@@ -93,6 +102,14 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = ROUNDS, least: int
             gone[at + 1] = False
             seq = seq[gone]
             known += len(made)
+            if bar == least:
+                # from here on the bar stays: only pairs of a new symbol, and those that reached the bar and are left, can reach it
+                place = np.cumsum(gone, dtype=np.int32) - 1
+                fresh = np.zeros(len(seq), bool)
+                fresh[place[hits[gone[hits]]]] = True
+                fresh[place[at]] = True
+                fresh[np.maximum(place[at] - 1, 0)] = True
+                fresh = np.flatnonzero(fresh[:-1])
         elif bar == least:
             break
         bar = max(least, bar // 4)

@@ -76,3 +76,19 @@ def test_shards(docs, rows):
 
 def test_empty(empty):
     assert T.documents_of(T.encode_shards(empty, PATH)).count() == 0
+
+
+def test_rounds_at_the_last_bar_count_only_what_can_reach_it(monkeypatch):
+    """Once the bar stays, pairs that no replacement touched aren't counted again; none that reaches the bar is left."""
+    rng = np.random.default_rng(8)
+    odds = 1 / np.arange(1, 2001)
+    ids = np.concatenate([rng.choice(2000, 200_000, p=odds / odds.sum()), np.full(1000, 7), np.tile([3, 4, 5, 3, 4], 300)]).astype(np.uint32)
+    sizes, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: (sizes.append(len(x)) if k.get("minlength") == 1 << T._HASH_BITS else None, plain(x, *a, **k))[1])
+    rules, lengths, seq = T.compress(ids, 2000)
+    # over 1,024, then by four down to 16
+    assert sum(n >= len(seq) - 1 for n in sizes) <= 4 and len(rules) > 500
+    assert (T.expand(rules, lengths, seq.astype(np.int64), 2000) == ids).all()
+    pairs, n = np.unique(seq[:-1].astype(np.int64) << 32 | seq[1:], return_counts=True)
+    same = pairs >> 32 == pairs & 0xFFFFFFFF
+    assert (n[~same] < T.LEAST).all()
