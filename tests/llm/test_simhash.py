@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm import simhash
+from quernstone.llm import grouping, simhash
 from quernstone.llm.grouping import components, grouped
 
 SPACE = " \t\n\x0b\f\r"
@@ -84,3 +84,33 @@ def test_components(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[200] == 0 and got[101] == 100 and all(got[1000 + i] == 1000 for i in range(300))
     assert components(df.filter(F.lit(False))).count() == 0
+
+
+def test_a_large_group_is_not_compared_with_itself(spark, monkeypatch):
+    """A bucket's nodes that are all but few in one group already: rows are made for the few."""
+    made = []
+    salts = grouping._for_salts
+    monkeypatch.setattr(grouping, "_for_salts", lambda rows: made.append(salts(rows)) or made[-1])
+    many = list(range(10_000, 11_000))
+    rows = [(1, x) for x in [0, *many, 20_000, 20_001, 30_000]] + [(2, x) for x in many] + [(3, x) for x in (5, 30_000, 40_000)]
+    keys = spark.createDataFrame(rows, "bucket long, node long")
+    of = lambda x: F.floor(x / 10_000) + F.when(x >= 30_000, 30_000).otherwise(0)
+    got = {r.node: r.root for r in grouped(keys, lambda a, b: of(a) == of(b), band=of).collect()}
+    assert got == {x: 10_000 for x in many} | {20_000: 20_000, 20_001: 20_000}
+    assert made[-1].count() <= 2 * len(rows)
+
+
+def test_groups_of_random_buckets(spark):
+    rng = np.random.default_rng(11)
+    held = sorted(set(zip(rng.integers(0, 6, 900).tolist(), rng.integers(0, 400, 900).tolist(), strict=True)))
+    near = lambda a, b: (a + b) % 97 < 3
+    from tests.llm.conftest import Groups
+
+    want, linked = Groups(), set()
+    for b, x in held:
+        for c, y in held:
+            if b == c and x < y and near(x, y):
+                want.join(x, y)
+                linked |= {x, y}
+    got = grouped(spark.createDataFrame(held, "bucket long, node long"), near)
+    assert {r.node: r.root for r in got.collect()} == {x: want.find(x) for x in linked}
