@@ -142,6 +142,17 @@ def test_page_stream():
     assert readers.page_stream(None) == []
 
 
+def test_references_cut_short(spark):
+    """Both ways to read a page take a reference without its semicolon as it stands."""
+    page = "<title>a&amp;&amp</title><!-- <script> --><p>b &copy &ampx; &middot; &lt;i&gt; &#39;c&#39 &</p><script>x &amp y</script>"
+    got = [v for kind, v in readers.page_stream(page) if kind == "word"]
+    pages = spark.createDataFrame([(1, page)], "doc_id long, html string")
+    assert got == [r.value for r in tokens.html_words(pages).orderBy("pos").collect()]
+    assert got[:3] == ["a", "&&", "amp"]
+    assert ("text", "?a=1&copy=2&amp") in readers.page_stream('<a href="?a=1&copy=2&amp">')
+    assert [v for kind, v in readers.page_stream("<script>x &amp y</script>", raw=True) if kind == "word"] == ["x", "&", "amp", "y"]
+
+
 def test_plain_text():
     plain = lambda h: render.plain_text(readers.page_stream(h))
     assert plain("<p>ala ma</p><p>kota</p>") == "ala ma\n\nkota\n\n"
