@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import text
-from quernstone.operators import tokens
+from quernstone.operators import render, tokens
 from quernstone.plans import service_queries
 from quernstone.plans.corpus import Corpus
 from quernstone.sources import readers, versions
@@ -81,3 +81,37 @@ def test_many_tokens_of_pages(spark):
     pages = spark.createDataFrame([(i, f"<p>{'a b ' * i}</p>" if i % 3 else None) for i in range(30)], "doc_id long, html string")
     want = sorted((i, n, k, v) for i in range(30) if i % 3 for n, (k, v) in enumerate(readers.page_stream(f"<p>{'a b ' * i}</p>")) if k == "word")
     assert sorted(tuple(r) for r in readers.page_tokens(pages).filter("kind = 'word'").collect()) == want
+
+
+TEXTS = ["the of", " the  of\n", "the, of", "the the the of the of", "a<b & the of>c", "the of,the of", "\tthe\nof the", "", " \n ", None, "xthe of the ofx", "the of the of the", ",the of"]
+
+
+@pytest.mark.parametrize("terms", [None, ["the", "of"], ["the", "the"], ["of"], ["", "of"], ["the", "of", "the"]])
+def test_texts_are_shown_without_their_tokens(spark, terms):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    toks = tokens.lemmatized(tokens.text_tokens(docs))
+    bodies = lambda df: {r.doc_id: r.body for r in df.collect()}
+    want = bodies(render.rendered(toks, terms))
+    made = render.rendered_texts(docs, terms=terms)
+    assert bodies(made) == want and len(want) == len(TEXTS) - 3
+    assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Exchange hash", "InArrow", "InPandas"))
+    if terms:
+        assert bodies(render.rendered_texts(docs, terms=terms, hits_only=True)) == {i: b for i, b in want.items() if "match" in b}
+    else:
+        assert bodies(render.rendered_texts(docs, how="plain")) == bodies(render.rendered(toks, how="plain"))
+
+
+def test_tokens_are_shown_by_one_shuffle(spark):
+    toks = spark.createDataFrame([(1, p, "word", v, v) for p, v in [(0, "a"), (1, "b"), (3, "a"), (5, "b")]] + [(2, 0, "tag", "p", None), (2, 1, "word", "a", "a"), (2, 2, "word", "b", "b"), (2, 3, "end", None, None)], "doc_id long, pos int, kind string, value string, lemma string")
+    made = render.rendered(toks.repartition(3), ["a", "b"])
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.doc_id: r.body for r in made.collect()} == {1: '<span class="match">a b</span> a b', 2: '<p><span class="match">a b</span></p>'}
+
+
+def test_pages_are_shown_without_their_tokens(spark):
+    pages = spark.createDataFrame([(1, "<p>a <b>b</b> c</p>"), (2, ""), (3, None), (4, "x &amp; y<br>")], "doc_id long, html string")
+    toks = tokens.lemmatized(readers.page_tokens(pages))
+    for how in ("plain", "html"):
+        made = render.rendered_pages(pages, how=how)
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, render.rendered(toks, how=how).collect()))
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
