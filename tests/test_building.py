@@ -115,3 +115,14 @@ def test_pages_are_shown_without_their_tokens(spark):
         made = render.rendered_pages(pages, how=how)
         assert sorted(map(tuple, made.collect())) == sorted(map(tuple, render.rendered(toks, how=how).collect()))
         assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_need_no_sorted_tokens(spark):
+    toks = tokens.text_tokens(spark.createDataFrame([(0, "b a, b"), (1, ""), (2, "c\na-a")], "doc_id long, text string"))
+    vocab = tokens.vocabulary(toks)
+    ids = tokens.encoded_stream(toks, vocab)
+    assert "ShuffledHashJoin [kind" in ids._jdf.queryExecution().executedPlan().toString()
+    back = tokens.decoded_stream(ids, vocab)
+    assert "ShuffledHashJoin [id" in back._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r.doc_id, r.pos, r.kind, r.value)
+    assert sorted(map(key, back.collect()), key=str) == sorted(map(key, toks.collect()), key=str)
